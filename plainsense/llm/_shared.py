@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 SPACE = "[\\x20\\x09-\\x0D]"
 
 
@@ -141,3 +143,12 @@ def rolling(values: np.ndarray, k: int) -> np.ndarray:
 
 def _pow(n: int) -> np.uint64:
     return np.uint64(pow(int(_MULT), n, 1 << 64))
+
+
+def map_texts(df: DataFrame, fn, schema, rows: int = 1000) -> DataFrame:
+    """``mapInArrow`` with batches small enough for long texts."""
+    ship(df.sparkSession)
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df.mapInArrow(fn, schema)

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import ship
 from ._shared import kept
 
 SIZE = 2048
@@ -117,6 +118,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end
     key = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", key), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()), *([T.StructField("token_ids", T.BinaryType())] if ids else [])])
     # a nullable integer key would reach pandas as a float: it travels as text
+    ship(docs.sparkSession)
     sent = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     text_schema = T.StructType([T.StructField("doc_id", T.StringType()), *schema.fields[1:]])
     return sent.mapInPandas(cut, text_schema).withColumn("doc_id", F.col("doc_id").cast(key)).select(*[f.name for f in schema])

@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing
+from . import exact_dedup, packing, simhash
 from ._shared import table
 
 
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_table(spark, table(spark, sf_dir, "documents"))
 
@@ -28,6 +33,7 @@ FROM (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n_cp
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op8_exact_dedup": op8_exact_dedup,
     }
