@@ -5,9 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,78 +71,6 @@ def text_of(df: DataFrame, column: str = "text") -> DataFrame:
     return df.withColumn(column, F.coalesce(F.col(column), F.lit("")))
 
 
-# ---- packed text: the texts of a batch as one byte array ---------------------------------------------------------
-
-#: Texts are handled in packs of about this many bytes; a single longer text is a pack of its own.
-PACK_BYTES = 2_000_000
-
-_MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
-
-
-def packs(texts: list[bytes], limit: int = PACK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges [i, j) of texts of about ``limit`` bytes together."""
-    i, size = 0, 0
-    for j, t in enumerate(texts):
-        if size and size + len(t) > limit:
-            yield i, j
-            i, size = j, 0
-        size += len(t)
-    if i < len(texts):
-        yield i, len(texts)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (splitmix64), so that nearby inputs give unrelated values."""
-    x = x.astype(np.uint64, copy=True)
-    x ^= x >> np.uint64(30)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
-    return x
-
-
-_powers = np.ones(1, np.uint64)
-
-
-def powers(n: int) -> np.ndarray:
-    """The first ``n`` powers of the hash's multiplier, modulo 2**64."""
-    global _powers
-    if len(_powers) < n:
-        grown = np.full(max(n, 2 * len(_powers)), _MULT, np.uint64)
-        grown[0] = 1
-        _powers = np.multiply.accumulate(grown)
-    return _powers[:n]
-
-
-def rolling(values: np.ndarray, k: int) -> np.ndarray:
-    """Mixed hashes of all windows of ``k`` values (polynomial modulo 2**64, by doubling, no Python loop over rows)."""
-    n = len(values) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    power, have, at = values.astype(np.uint64), 1, 0
-    out, mult = None, _MULT
-    rest, base = k, _MULT
-    while rest:
-        if rest & 1:
-            if out is None:
-                out, at = power, have
-            else:  # out covers `at` values, then `have` more
-                m = len(values) - (at + have) + 1
-                out = out[:m] * _pow(have) + power[at : at + m]
-                at += have
-        rest >>= 1
-        if rest:
-            m = len(values) - 2 * have + 1
-            power = power[:m] * _pow(have) + power[have : have + m]
-            have *= 2
-    return mix(out[:n])
-
-
-def _pow(n: int) -> np.uint64:
-    return np.uint64(pow(int(_MULT), n, 1 << 64))
-
-
 def map_texts(df: DataFrame, fn, schema, rows: int = 1000) -> DataFrame:
     """``mapInArrow`` with batches small enough for long texts."""
     ship(df.sparkSession)

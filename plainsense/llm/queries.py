@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, simhash
+from . import exact_dedup, packing, simhash, suffix_dedup, toxicity
 from ._shared import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -24,6 +28,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), carry={"text_sha256": F.sha2("norm", 256)})
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n_cp, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, k AS keep_id, n AS group_size, doc_id = k AS kept, text_sha256
@@ -33,9 +41,11 @@ FROM (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n_cp
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op8_exact_dedup": op8_exact_dedup,
+        "op10_suffix_array_dedup": op10_suffix_array_dedup,
     }
 
 
