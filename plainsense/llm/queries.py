@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, simhash, suffix_dedup, toxicity
+from . import exact_dedup, license_scan, packing, simhash, suffix_dedup, toxicity
 from ._shared import table
 
 
@@ -24,6 +24,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_table(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), carry={"text_sha256": F.sha2("norm", 256)})
 
@@ -44,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op5_best_fit_packing": op5_best_fit_packing,
+        "op7_license_scan": op7_license_scan,
         "op8_exact_dedup": op8_exact_dedup,
         "op10_suffix_array_dedup": op10_suffix_array_dedup,
     }

@@ -36,13 +36,13 @@ FOLDS = 5
 class Settings:
     """FTRL-proximal: rate alpha / (beta + sqrt(sum of squared gradients)), L1 and L2 terms, and the passes."""
 
-    alpha: float = 0.15
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 1.0
+    l1: float = 15.0
     l2: float = 0.1
-    examples: int = 60_000
+    examples: int = 30_000
     most_passes: int = 30
-    min_rows: int = 2
+    min_rows: int = 5
 
 
 @dataclass(frozen=True)
