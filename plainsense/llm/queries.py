@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, license_scan, packing, simhash, suffix_dedup, toxicity
+from . import chat, exact_dedup, license_scan, packing, simhash, suffix_dedup, toxicity
 from ._shared import table
 
 
@@ -32,6 +32,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), carry={"text_sha256": F.sha2("norm", 256)})
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(table(spark, sf_dir, "conversations"))
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_best_fit_packing": op5_best_fit_packing,
         "op7_license_scan": op7_license_scan,
         "op8_exact_dedup": op8_exact_dedup,
+        "op9_chat_formatting": op9_chat_formatting,
         "op10_suffix_array_dedup": op10_suffix_array_dedup,
     }
 
