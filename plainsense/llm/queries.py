@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, exact_dedup, license_scan, packing, simhash, suffix_dedup, toxicity
+from . import chat, decontam, exact_dedup, license_scan, packing, quality, simhash, suffix_dedup, toxicity
 from ._shared import table
 
 
@@ -28,6 +28,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_table(spark, table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op4_benchmark_decontamination": op4_benchmark_decontamination,
         "op5_best_fit_packing": op5_best_fit_packing,
+        "op6_quality_classifier": op6_quality_classifier,
         "op7_license_scan": op7_license_scan,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_chat_formatting": op9_chat_formatting,
