@@ -10,7 +10,8 @@ bytes hold equal sampled positions at equal offsets, so every repeat shows at a
    end). Positions with one surrounding end here: all strings of ``length`` bytes through them repeat.
 3. Positions whose rank repeats with different surroundings: one representative of each surrounding is reranked by the
    pairs (left part, right part) that make up each string of ``length`` bytes through it. Groups of bounded size are
-   reranked in one task; larger ones send their pairs through a Spark aggregation.
+   reranked in one task; larger ones rerank by half the reach first and send the pairs of what is left through a Spark
+   aggregation.
 4. Each sampled position now has the outermost repeated strings through it; they overlap, so together they are one
    run of bytes. Runs are joined to the texts and removed at once.
 
@@ -39,7 +40,7 @@ FIRST = 50
 #: Bytes of a text whose positions are sampled at once.
 SEGMENT = 1_000_000
 #: Surroundings of one rank that are reranked in one task.
-GROUP = 2000
+GROUP = 20_000
 
 def sample(data: np.ndarray, length: int = LENGTH, first: int = FIRST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sampled positions of a text, the hashes of their first bytes, and the hashes of their surroundings."""
@@ -134,29 +135,26 @@ def _surroundings(docs: DataFrame, reps: DataFrame, length: int, first: int) ->
     return map_texts(one, run, "rank long, around long, n long, left binary, right binary", 200).dropDuplicates(["rank", "around"])
 
 
-def _pairs(lefts: list[bytes], rights: list[bytes], reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each row and each d from 0 to reach: the rank of (last d bytes of left, first reach - d of right), and whether there is one."""
+def _side_sums(lefts: list[bytes], rights: list[bytes], reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the last d bytes of each left side and the first d of each right one, d from 0 to reach; the sides' lengths."""
     m = len(lefts)
-    ln, rn = np.array([*map(len, lefts)]), np.array([*map(len, rights)])
-    left = np.frombuffer(b"".join(x[::-1].ljust(reach, b"\0") for x in lefts), np.uint8).reshape(m, reach)
-    right = np.frombuffer(b"".join(x.ljust(reach, b"\0") for x in rights), np.uint8).reshape(m, reach)
     up, _ = powers(4096)
     sums = []
-    for side in (left, right):
+    for side in ([x[::-1] for x in lefts], rights):
+        data = np.frombuffer(b"".join(x.ljust(reach, b"\0") for x in side), np.uint8).reshape(m, reach)
         s = np.zeros((m, reach + 1), np.uint64)
-        np.cumsum(VALUE[side] * up[:reach], axis=1, out=s[:, 1:])
+        np.cumsum(VALUE[data] * up[:reach], axis=1, out=s[:, 1:])
         sums.append(s)
-    d = np.arange(reach + 1)
-    there = (d <= ln[:, None]) & (reach - d <= rn[:, None])
-    salt = mix(d.astype(np.uint64) + np.uint64(77))
-    return mix(mix(sums[0]) + sums[1][:, ::-1] * np.uint64(BASE) + salt), there
+    return sums[0], sums[1], np.array([*map(len, lefts)]), np.array([*map(len, rights)])
 
 
-def _ends(rows: np.ndarray, d: np.ndarray, m: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    low, high = np.full(m, reach + 1), np.full(m, -1)
-    np.minimum.at(low, rows, d)
-    np.maximum.at(high, rows, d)
-    return low, high
+def _pairs(rank: np.ndarray, sides: tuple, reach: int, ds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and each d of ``ds``: the rank of (last d bytes of left, first reach - d of right), and whether there is one."""
+    left, right, ln, rn = sides
+    there = (ds <= ln[:, None]) & (reach - ds <= rn[:, None])
+    salt = mix(ds.astype(np.uint64) + np.uint64(77))
+    pairs = mix(left[:, ds]) + right[:, reach - ds] * np.uint64(BASE) + salt
+    return mix(mix(pairs) + rank.view(np.uint64)[:, None]), there
 
 
 def _small_groups(sides: DataFrame, reach: int) -> DataFrame:
@@ -165,12 +163,17 @@ def _small_groups(sides: DataFrame, reach: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for around, rank, left, right in whole_groups(batches, 4000):
-            pairs, there = _pairs([*left], [*right], reach)
-            keys = mix(pairs + rank.view(np.uint64)[:, None])
-            row, d = np.nonzero(there)
-            _, inverse, count = np.unique(keys[row, d], return_inverse=True, return_counts=True)
-            again = count[inverse] > 1
-            low, high = _ends(row[again], d[again], len(rank), reach)
+            hashed = _side_sums([*left], [*right], reach)
+            low, high = np.full(len(rank), reach + 1), np.full(len(rank), -1)
+            step = max(1, 500_000 // len(rank))
+            for at in range(0, reach + 1, step):  # strings at different d are never equal
+                ds = np.arange(at, min(at + step, reach + 1))
+                pairs, there = _pairs(rank, hashed, reach, ds)
+                row, d = np.nonzero(there)
+                _, inverse, count = np.unique(pairs[row, d], return_inverse=True, return_counts=True)
+                again = count[inverse] > 1
+                np.minimum.at(low, row[again], ds[d[again]])
+                np.maximum.at(high, row[again], ds[d[again]])
             hit = high >= 0
             yield pa.RecordBatch.from_arrays([*map(pa.array, (rank[hit], around[hit], low[hit], high[hit]))], names=["rank", "around", "low", "high"])
 
@@ -178,19 +181,35 @@ def _small_groups(sides: DataFrame, reach: int) -> DataFrame:
 
 
 def _large_groups(sides: DataFrame, reach: int) -> DataFrame:
-    """As ``_small_groups``, with every pair as a row, counted by Spark: for ranks with very many surroundings."""
+    """As ``_small_groups``, for ranks with very many surroundings: ranks and pairs as rows, counted by Spark.
+
+    A string through a position holds at least half of the reach on one side. So positions are first reranked by that
+    half on either side; those that are unique on both sides leave, and only the others give their pairs.
+    """
+    half = reach - reach // 2
+
+    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rank = b.column(0).to_numpy()
+            left, right, ln, rn = _side_sums(b.column(2).to_pylist(), b.column(3).to_pylist(), reach)
+            cols = [mix(mix(s[:, half] + np.uint64(k)) + rank.view(np.uint64)).view(np.int64) for k, s in enumerate((left, right))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.where(ln >= half, cols[0], 0), mask=ln < half), pa.array(np.where(rn >= half, cols[1], 0), mask=rn < half)], names=["rank", "around", "l", "r"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rank, around, left, right = (b.column(i) for i in range(4))
-            pairs, there = _pairs(left.to_pylist(), right.to_pylist(), reach)
-            rank, around = rank.to_numpy(), around.to_numpy()
+            rank, around = b.column(0).to_numpy(), b.column(1).to_numpy()
+            pairs, there = _pairs(rank, _side_sums(b.column(2).to_pylist(), b.column(3).to_pylist(), reach), reach, np.arange(reach + 1))
             row, d = np.nonzero(there)
-            yield pa.RecordBatch.from_arrays([*map(pa.array, (rank[row], around[row], d, mix(pairs + rank.view(np.uint64)[:, None])[row, d].view(np.int64)))], names=["rank", "around", "d", "pair"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (rank[row], around[row], d, pairs[row, d].view(np.int64)))], names=["rank", "around", "d", "pair"])
 
-    pairs = kept(map_texts(sides.select("rank", "around", "left", "right"), run, "rank long, around long, d long, pair long"), "suffix-pairs")
-    again = pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    return pairs.join(again, "pair", "left_semi").groupBy("rank", "around").agg(F.min("d").alias("low"), F.max("d").alias("high"))
+    large = sides.select("rank", "around", "left", "right")
+    half_ranks = kept(map_texts(large, halves, "rank long, around long, l long, r long"), "suffix-halves")
+    sided = half_ranks.select("rank", "around", F.explode(F.array("l", "r")).alias("h")).where("h is not null")
+    again = sided.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
+    alive = sided.join(again, "h", "left_semi").select("rank", "around").distinct()
+    pairs = kept(map_texts(large.join(alive, ["rank", "around"], "left_semi").select("rank", "around", "left", "right"), run, "rank long, around long, d long, pair long"), "suffix-pairs")
+    twice = pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("pair")
+    return pairs.join(twice, "pair", "left_semi").groupBy("rank", "around").agg(F.min("d").alias("low"), F.max("d").alias("high"))
 
 
 def repeated_runs(docs: DataFrame, length: int = LENGTH, first: int = FIRST, group: int = GROUP) -> DataFrame:
@@ -199,11 +218,13 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, first: int = FIRST, gro
     ranks = positions(docs, length, first, ranks_only=True).groupBy("rank").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("rank")
     alive = kept(positions(docs, length, first).join(ranks, "rank", "left_semi"), "suffix-alive")
     pairs = kept(alive.groupBy("rank", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "pos")).alias("rep")), "suffix-pairs")
-    several = pairs.groupBy("rank").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    several = kept(pairs.groupBy("rank").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "suffix-several")
     reps = pairs.join(several, "rank").select("rank", "around", "n", "rep.key", "rep.pos", "m")
     sides = _surroundings(docs, reps, length, first)
     sides = kept(sides.join(several, "rank"), "suffix-sides")
-    ends = _small_groups(sides.where(F.col("m") <= group), reach).unionByName(_large_groups(sides.where(F.col("m") > group), reach))
+    ends = _small_groups(sides.where(F.col("m") <= group), reach)
+    if not several.where(F.col("m") > group).isEmpty():
+        ends = ends.unionByName(_large_groups(sides.where(F.col("m") > group), reach))
     # a surrounding that occurs twice repeats whole: the final step knows how far it reaches
     known = pairs.select("rank", "around", "n").join(ends, ["rank", "around"], "left").where("n > 1 or high is not null")
     known = known.select("rank", "around", F.when(F.col("n") > 1, F.lit(0)).otherwise(F.col("low")).alias("low"), F.when(F.col("n") > 1, F.lit(reach)).otherwise(F.col("high")).alias("high"))
