@@ -30,7 +30,7 @@ RADIUS = 3
 #: Fingerprints in one side of a tile.
 TILE = 8192
 #: A key's expected number of unrelated fingerprints, above which longer keys are used.
-CROWD = 256
+CROWD = 512
 
 
 def _fingerprint(text: str, shingle: int, digest) -> int:
