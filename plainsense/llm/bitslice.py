@@ -17,7 +17,7 @@ def planes_of(prints: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tup
     lane = np.arange(64)
     at = np.minimum(starts[:, None] + lane, len(prints) - 1)
     bits = np.unpackbits(prints[at].astype("<u8").view(np.uint8).reshape(words, 64, 8), axis=2, bitorder="little")
-    planes = np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little").view("<u8")[:, :, 0]
+    planes = np.ascontiguousarray(np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")).view("<u8")[:, :, 0]
     full = counts >= 64
     valid = np.where(full, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << np.where(full, 0, counts).astype(np.uint64)) - np.uint64(1))
     return planes, valid

@@ -58,6 +58,11 @@ def test_links_of_one_group_and_of_two_sides():
                     assert got[a] == got[b]
 
 
+def test_links_of_two():
+    for n in (2, 3):
+        assert links(np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros(n, bool), 3).root.tolist() == [0] * n
+
+
 def test_links_stay_within_groups():
     arr = np.zeros(10, np.uint64)
     group = np.array([1, 1, 2, 3, 3, 3, 4, 5, 6, 6])
