@@ -147,3 +147,20 @@ def near_dedup(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> DataF
     of = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
     of = kept(of, "simhash-components")
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one document of each group: the one with the smallest doc_id (null last); all columns kept."""
+    key = F.xxhash64("doc_id", "text")
+    prints = kept(fingerprints(docs.select(F.struct("doc_id", key.alias("k")).alias("doc_id"), "text"), shingle), "simhash-prints")
+    order = F.struct(F.col("doc_id.doc_id").isNull().alias("a"), F.col("doc_id.doc_id").alias("b"), F.col("doc_id.k").alias("k"))
+    nodes = kept(prints.groupBy("fp").agg(F.min(order).alias("first")), "simhash-nodes")
+    roots = components(near_links(nodes.select("fp"), radius), "simhash-stars").select(F.col("node").alias("fp"), "root")
+    stays = nodes.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    stays = kept(stays.select(F.col("first.k").alias("_key")), "simhash-stays")
+    out = docs.withColumn("_key", key).join(stays, "_key", "left_semi")
+    # a row that is there twice with its doc_id and text stays once
+    twice = prints.groupBy(F.col("doc_id.k").alias("_key")).count().where("count > 1").select("_key").join(stays, "_key", "left_semi")
+    if not twice.isEmpty():
+        out = out.join(twice, "_key", "left_anti").unionByName(out.join(twice, "_key", "left_semi").dropDuplicates(["_key"]))
+    return out.drop("_key")

@@ -155,3 +155,15 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, settings: Settings = Settings()) -> DataFrame:
     """Learns from the labelled rows and scores every document."""
     return score_documents(docs, learn(docs, labels, max_train, settings))
+
+
+def reject_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5, max_train: int = MAX_TRAIN, settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs`` that score below ``limit``, all columns kept."""
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, max_train, settings))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(shared.value.score(b.column(at).to_pylist()) < limit))
+
+    return map_texts(docs, run, docs.schema)
