@@ -86,6 +86,16 @@ def align(pattern: np.ndarray, text: np.ndarray, low: int, high: int, budget: in
     return int(row[k]), int(start[k] + len(pattern))
 
 
+def exact(pattern: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int] | None:
+    """(0, end) where the pattern itself starts at a diagonal from low to high: no alignment does better."""
+    low = max(low, 0)
+    stretch, wanted = text[low : max(high, 0) + len(pattern)].tobytes(), pattern.tobytes()
+    at = stretch.find(wanted)
+    while at >= 0 and at % 4:
+        at = stretch.find(wanted, at + 1)
+    return (0, low + at // 4 + len(pattern)) if at >= 0 else None
+
+
 @dataclass
 class Index:
     """The q-grams of a block of windows: each gram's (window, position) pairs, and a bitmap of the grams."""
@@ -108,6 +118,8 @@ class Index:
         self.bitmap = np.zeros(1 << BITS, bool)
         self.bitmap[self.grams >> np.uint64(64 - BITS)] = True
         self.length = np.array([*map(len, self.patterns)])
+        if self.length.max() > 1024:
+            raise ValueError("windows of more than 1024 characters")
         self.budget = (self.rate * self.length).astype(np.int64)
         # where the bound would be void, fewer edits are allowed
         while (weak := self.length + 1 - self.q - self.q * self.budget < 1).any():
@@ -124,7 +136,7 @@ class Index:
                 if w in out:
                     continue
                 e = int(self.budget[w])
-                found = align(self.patterns[w], part, diagonal, diagonal + 2 * e + 1, e)
+                found = exact(self.patterns[w], part, diagonal, diagonal + 2 * e + 1) or align(self.patterns[w], part, diagonal, diagonal + 2 * e + 1, e)
                 if found:
                     end = low + found[1]
                     out[w] = (w, max(0, end - int(self.length[w])), end, found[0])
@@ -143,15 +155,22 @@ class Index:
         n = self.count[at]
         pairs = np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         w = self.owner[pairs]
-        diagonal = np.repeat(place, n) - self.at[pairs]
-        half = self.budget[w] + 1
-        band = diagonal // half
-        key = np.concatenate([w, w]).astype(np.int64) << 32 | (np.concatenate([band, band - 1]) + (1 << 30))
-        key, hits = np.unique(key, return_counts=True)
+        # a window that the whole stretch doesn't hold often enough has no band that does
+        often = np.bincount(w, minlength=len(self.patterns)) >= self.least
+        own = np.flatnonzero(often[w])
+        if not len(own):
+            return []
+        w, j = w[own], self.at[pairs[own]]
+        diagonal = np.repeat(place, n)[own] - j
+        band = diagonal // (self.budget[w] + 1)
+        # shared q-grams of a band, each place of the window counted once
+        key = np.concatenate([w, w]) << 42 | (np.concatenate([band, band - 1]) + (1 << 30)) << 10 | np.concatenate([j, j])
+        key, hits = np.unique(np.unique(key) >> 10, return_counts=True)
         w = key >> 32
         good = hits >= self.least[w]
         w, band = w[good], (key[good] & 0xFFFFFFFF) - (1 << 30)
-        return [*zip(w.tolist(), (band * (self.budget[w] + 1)).tolist(), strict=True)]
+        best = np.argsort(-hits[good], kind="stable")
+        return [*zip(w[best].tolist(), (band * (self.budget[w] + 1))[best].tolist(), strict=True)]
 
 
 def gram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
