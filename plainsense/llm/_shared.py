@@ -1,17 +1,13 @@
-"""Helpers shared by the training-data operators: input tables, shared-folder tables, packed text batches."""
+"""Helpers shared by the training-data operators: input tables, shared-folder tables, Arrow batches of texts."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from ..scratch import kept, materialize, remove
 from ..shipping import ship
 
-SPACE = "[\\x20\\x09-\\x0D]"
+__all__ = ["kept", "map_texts", "materialize", "remove", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,58 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a folder of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    sc = spark.sparkContext
-    have = sc._jsc.sc().getCheckpointDir()
-    if have.isDefined():
-        return have.get()
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="plainsense-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a table that ``materialize`` wrote."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def _remove_at_exit(spark: SparkSession, path: str) -> None:
-    try:
-        if spark.sparkContext._jsc is not None:
-            remove(spark, path)
-    except Exception:  # the session may be gone; the folder is scratch space
-        pass
-
-
-def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """Writes ``df`` as a table in the shared folder and reads it back: lineage ends there, and lost executors lose nothing.
-
-    Returns the table and its path. What is not removed earlier goes when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove_at_exit, spark, path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def kept(df: DataFrame, tag: str) -> DataFrame:
-    """``materialize`` without the path."""
-    return materialize(df, tag)[0]
-
-
-def text_of(df: DataFrame, column: str = "text") -> DataFrame:
-    """Null texts become empty ones."""
-    return df.withColumn(column, F.coalesce(F.col(column), F.lit("")))
-
-
 def map_texts(df: DataFrame, fn, schema, rows: int = 1000) -> DataFrame:
     """``mapInArrow`` with batches small enough for long texts."""
     ship(df.sparkSession)
