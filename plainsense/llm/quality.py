@@ -35,6 +35,8 @@ LEAST = 50
 FOLDS = 5
 #: Events up to which their probabilities are broadcast: about 40 bytes each while it is built.
 BROADCAST = 2_000_000
+#: Trusted doc_ids up to which they are broadcast (about 40 bytes each); beyond, the texts are shuffled to join them.
+BROADCAST_IDS = 1_000_000
 #: Documents of a group in the sharded way.
 GROUP = 8192
 START, END = "\x02", "\x03"
@@ -216,7 +218,8 @@ def _left_out(doc_id: Column) -> Column:
 def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, least: int = LEAST, **how) -> DataFrame:
     """One row per document: doc_id, lang, n_events, perplexity, threshold, kept."""
     good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    trusted = docs.select("doc_id", "text").join(good.where(~_left_out(F.col("doc_id"))), "doc_id", "left_semi")
+    ids = kept(good.where(~_left_out(F.col("doc_id"))), "quality-trusted")
+    trusted = docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge"), "doc_id", "left_semi")
     counts = kept(grams(trusted, order).groupBy("gram").agg(F.sum("n").alias("n")), "quality-counts")
     scored = kept(perplexities(docs, counts, order, **how), "quality-scores")
     held = scored.join(good.where(_left_out(F.col("doc_id"))), "doc_id", "left_semi")

@@ -67,7 +67,9 @@ def test_probabilities_of_a_context_sum_to_one():
         assert sum(p(h + c) for c in a[1]) + p(h + "￿") == pytest.approx(1)
 
 
-def test_thresholds_by_language(spark):
+@pytest.mark.parametrize("ids", [q.BROADCAST_IDS, 0])
+def test_thresholds_by_language(spark, ids, monkeypatch):
+    monkeypatch.setattr(q, "BROADCAST_IDS", ids)
     rnd = random.Random(5)
     say = lambda letters: " ".join("".join(rnd.choice(letters) for _ in range(4)) for _ in range(80))
     rows = [(i, say("abc" if i % 2 else "xyz"), "one" if i % 2 else "two") for i in range(600)]
