@@ -39,14 +39,13 @@ TILE = 1024
 #: Grams of a line that are summed at once.
 LONG = 1 << 15
 
-_OTHER = re.compile(r"[^\w\n]+|_")
+_OTHER = re.compile(r"[\W_]+")
 _DIGITS = re.compile(r"\d")
-_BLANKS = re.compile(" +")
 
 
 def normalised_lines(text: str) -> list[str]:
-    low = _DIGITS.sub("0", _OTHER.sub(" ", text.lower()))
-    return [x.strip() for x in _BLANKS.sub(" ", low).split("\n")]
+    low = _DIGITS.sub("0", text.lower())
+    return [_OTHER.sub(" ", x).strip() for x in low.split("\n")]
 
 
 def majority(words: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -78,7 +77,10 @@ def majority(words: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def line_prints(lines: list[str], q: int = Q) -> np.ndarray:
-    """SimHashes of lines of at least q characters."""
+    """SimHashes of the distinct q-grams of lines of at least q characters.
+
+    A gram counts once: endings that a language repeats all the time would make all its lines alike.
+    """
     out = np.zeros(len(lines), np.uint64)
     if not lines:
         return out
@@ -92,17 +94,19 @@ def line_prints(lines: list[str], q: int = Q) -> np.ndarray:
         if w > LONG:
             for r in rows:
                 ones = np.zeros(64, np.int64)
-                for at in range(0, int(n[r]), LONG):
-                    part = hashes[start[r] + at : start[r] + min(at + LONG, int(n[r]))]
-                    ones += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-                out[r] = np.packbits(2 * ones > n[r], bitorder="little").view("<u8")[0]
+                own = np.unique(hashes[start[r] : start[r] + int(n[r])])
+                for at in range(0, len(own), LONG):
+                    ones += np.unpackbits(own[at : at + LONG].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+                out[r] = np.packbits(2 * ones > len(own), bitorder="little").view("<u8")[0]
             continue
         step = max(1, (1 << 18) // int(w))
         for k in range(0, len(rows), step):
             r = rows[k : k + step]
             col = np.arange(w)
             at = np.minimum(start[r][:, None] + col, len(hashes) - 1)
-            out[r] = majority(np.where(col < n[r][:, None], hashes[at], np.uint64(0)), n[r])
+            grams = np.sort(np.where(col < n[r][:, None], hashes[at], np.uint64(0)), axis=1)
+            grams[:, 1:][grams[:, 1:] == grams[:, :-1]] = 0
+            out[r] = majority(grams, np.count_nonzero(grams, axis=1))
     return out
 
 
