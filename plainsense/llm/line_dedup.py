@@ -36,6 +36,8 @@ RADIUS = 4
 SIMILARITY = 0.8
 MIN_CHARS = 8
 TILE = 1024
+#: Characters of lines that are hashed at once: arrays that stay in a core's cache.
+BATCH = 300_000
 #: Grams of a line that are summed at once.
 LONG = 1 << 15
 
@@ -158,7 +160,7 @@ def _prints(docs: DataFrame, min_chars: int) -> DataFrame:
                         line.append(k)
                         texts.append(x)
                         size += len(x)
-                if size > 1_000_000:
+                if size > BATCH:
                     yield out(b, row, line, texts)
                     row, line, texts, size = [], [], [], 0
             if texts:
