@@ -156,8 +156,13 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> DataFra
     order = F.struct(F.col("doc_id.doc_id").isNull().alias("a"), F.col("doc_id.doc_id").alias("b"), F.col("doc_id.k").alias("k"))
     nodes = kept(prints.groupBy("fp").agg(F.min(order).alias("first")), "simhash-nodes")
     roots = components(near_links(nodes.select("fp"), radius), "simhash-stars").select(F.col("node").alias("fp"), "root")
-    stays = nodes.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    stays = kept(stays.select(F.col("first.k").alias("_key")), "simhash-stays")
+    return one_of_each(docs, key, prints, nodes, roots, "fp")
+
+
+def one_of_each(docs: DataFrame, key, prints: DataFrame, nodes: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """The rows of ``docs`` with the first place of each group of nodes; ``key`` names a row of prints in ``docs``."""
+    stays = nodes.join(roots, node, "left").groupBy(F.coalesce("root", node).alias("root")).agg(F.min("first").alias("first"))
+    stays = kept(stays.select(F.col("first.k").alias("_key")), "dedup-stays")
     out = docs.withColumn("_key", key).join(stays, "_key", "left_semi")
     # a row that is there twice with its doc_id and text stays once
     twice = prints.groupBy(F.col("doc_id.k").alias("_key")).count().where("count > 1").select("_key").join(stays, "_key", "left_semi")
