@@ -1,6 +1,8 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
-Benchmark items are cut into overlapping windows (a short item is one window). A window of m characters that occurs in
+Benchmark items are cut into overlapping windows (a short item is one window), of two lengths: the long ones allow more
+edits at one place, the short ones catch excerpts. Any excerpt of ``SHORT + STEP - 1`` = 79 normalised characters (about
+13 words) holds a whole short window, and is found if at most 6 edits fall in it; of 64 to 78 characters some are. A window of m characters that occurs in
 a text with at most e edits shares at least m + 1 - q - q e of its character q-grams with it, all on diagonals (text
 position less window position) within e of each other. Every text is passed over once for each block of windows: its
 q-grams that the block holds are counted in bands of 2 (e + 1) diagonals that overlap by half, bands that meet the bound
@@ -31,6 +33,9 @@ from .hashing import BASE, mix, powers
 Q = 8
 WINDOW = 96
 STRIDE = 48
+#: Short windows, and how far apart they start.
+SHORT = 64
+STEP = 16
 #: Edits for each character of a window.
 RATE = 0.1
 #: Characters of windows in one block.
@@ -60,6 +65,11 @@ def windows(text: str, window: int = WINDOW, stride: int = STRIDE) -> Iterator[s
     yield text[-window:]
 
 
+def all_windows(text: str, window: int = WINDOW, stride: int = STRIDE, short: int = SHORT, step: int = STEP) -> list[str]:
+    """The distinct windows of both lengths."""
+    return [*dict.fromkeys([*windows(text, window, stride), *windows(text, short, step)])]
+
+
 def align(pattern: np.ndarray, text: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int] | None:
     """Least edits of ``pattern`` against a stretch of ``text`` that starts at a diagonal from low to high.
 
@@ -183,13 +193,13 @@ def gram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
     return mix((sums[q:] - sums[:-q]) * down[: len(codes) - q + 1])
 
 
-def indexes(benchmark: DataFrame, q: int = Q, window: int = WINDOW, stride: int = STRIDE, rate: float = RATE, block: int = BLOCK) -> Iterator[Index]:
+def indexes(benchmark: DataFrame, q: int = Q, window: int = WINDOW, stride: int = STRIDE, short: int = SHORT, step: int = STEP, rate: float = RATE, block: int = BLOCK) -> Iterator[Index]:
     """The benchmark's windows in blocks of about ``block`` characters."""
     schema = T.StructType([benchmark.schema["item_id"], T.StructField("window", T.StringType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cut = [(i, w) for i, t in enumerate(b.column(1).to_pylist()) for w in windows(normalise(t), window, stride) if len(w) >= q]
+            cut = [(i, w) for i, t in enumerate(b.column(1).to_pylist()) for w in all_windows(normalise(t), window, stride, short, step) if len(w) >= q]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i for i, _ in cut], pa.int64())), pa.array([w for _, w in cut], pa.string())], names=["item_id", "window"])
 
     rows = kept(map_texts(benchmark.select("item_id", "text"), cut, schema), "decontam-windows")

@@ -84,3 +84,24 @@ def test_every_stretch_of_an_item_is_in_a_window():
     t = "x" * 250
     assert [*map(len, windows(t))] == [96] * 5 and decontam.WINDOW == 96
     assert np.array_equal(_codes("a"), [97])
+
+
+def test_every_excerpt_of_79_characters_is_found(spark):
+    """Wherever it starts; windows of 96 characters alone find none of them."""
+    rnd = random.Random(7)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 8))) for _ in range(500)]
+    say = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    items = [(i, say(60)) for i in range(4)]
+    docs = [(1000 * i + at, say(30) + " | " + t[at : at + 79] + " | " + say(30)) for i, t in items for at in range(len(t) - 78)]
+    clean_docs = [(-1 - k, say(90)) for k in range(50)]
+    d = spark.createDataFrame(docs + clean_docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    assert {r.doc_id for r in clean(d, b).collect()} == {i for i, _ in clean_docs}
+    assert {(r.doc_id, r.item_id) for r in matches(d, b).collect()} == {(i, i // 1000) for i, _ in docs}
+
+
+def test_edits_crowded_in_the_middle_of_an_item_are_allowed_as_before(spark):
+    rnd = random.Random(8)
+    t = "".join(rnd.choice("abcdefgh") for _ in range(96))
+    d = spark.createDataFrame([(1, t[:44] + "XXXXXXXXX" + t[53:])], "doc_id long, text string")
+    assert matches(d, spark.createDataFrame([(1, t)], "item_id long, text string")).count() == 1
