@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..scratch import kept, materialize, remove
 from ..shipping import ship
 
-__all__ = ["kept", "map_texts", "materialize", "remove", "table"]
+__all__ = ["free_name", "kept", "map_texts", "materialize", "remove", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A name for a working column that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def map_texts(df: DataFrame, fn, schema, rows: int = 1000) -> DataFrame:
     """``mapInArrow`` with batches small enough for long texts."""
     ship(df.sparkSession)

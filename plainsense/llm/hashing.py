@@ -66,8 +66,13 @@ _WORD = word_table()
 
 def word_hashes(text: bytes) -> np.ndarray:
     """One hash for each word of a text that is already in lower case, in order."""
+    return words_and_sizes(text)[0]
+
+
+def words_and_sizes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a text's words, in order, and their lengths in bytes."""
     data = np.frombuffer(text, np.uint8)
-    out, low = [], 0
+    out, sizes, low = [], [], 0
     while low < len(data):
         high = min(len(data), low + SEGMENT)
         while high < len(data) and _WORD[data[high]] and _WORD[data[high - 1]]:  # not within a word
@@ -81,5 +86,6 @@ def word_hashes(text: bytes) -> np.ndarray:
         sums = sums_of(part)
         _, down = powers(len(sums))
         out.append(mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)))
+        sizes.append(end - start)
         low = high
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return (np.concatenate(out), np.concatenate(sizes)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))

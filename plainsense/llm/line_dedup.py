@@ -1,249 +1,543 @@
 """Fuzzy line dedup: SimHash of normalised lines, joined on pigeonhole blocks, verified by edit similarity.
 
 A line is normalised to lower case with digits as 0 and everything but letters and digits as single blanks. Equal
-normalised lines are one node with a count and a first place. The nodes' SimHashes (over character q-grams, summed with
-carry-save counters) are linked within a Hamming radius by the same block keys and bit-sliced comparison as documents.
-Lines of a Hamming-connected group are brought together with their texts, in tiles of bounded size, and pairs within
-the radius are verified by edit distance unless they are connected already. Of every connected group of verified (or
-equal) lines the first occurrence, by doc_id and line number, stays; the others are removed from their texts.
-
-Defined results: blank lines and lines under ``min_chars`` normalised characters stay; a text may lose all its lines
+normalised lines are one node with a count and a first place.
+
+One SimHash of a whole line can't find lines of an edit similarity of 0.8: a changed word in ten turns some ten of its
+64 bits. So a line is cut into overlapping parts of its words, each part has a SimHash of its own, and these are the
+pigeonhole blocks: a changed word spoils the parts that it is in, and two lines are compared when any part is equal.
+Lines of up to ``SHORT`` words have the parts that leave one word out (and the whole); lines of ``LEAST`` words or more
+have ``PARTS`` parts of ``SPAN`` words each, those with the least values under as many hash orders, longer words first.
+
+Parts travel as packed pairs (part, line hash) by key range; a task keeps each part's first line and gives out the parts
+that a second line has. Lines of a common part are brought together with their texts, in tiles of bounded size. Pairs
+whose whole-line SimHashes (128 bits) lie within ``RADIUS`` are verified by edit distance unless they are connected
+already (a bound from the words that both have in the same order settles most without it). Of every
+connected group of verified (or equal) lines the first occurrence, by doc_id and line number, stays; the others are
+removed from their texts.
+
+Defined results: blank lines and lines under ``min_chars`` normalised characters stay; digits are alike, but lines with
+more digits than other characters keep theirs; a line of one word has only equal lines; a text may lose all its lines
 and becomes empty, its row stays; a null text stays null; rows that repeat both doc_id and text are one document and
 keep the same lines; a null doc_id comes after all others; an empty table gives an empty result; all columns of the
-input are kept (names of the working columns don't clash with them), ``text`` alone is changed.
+input are kept whatever their names, ``text`` alone is changed.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_digest
 
-from ._shared import kept, map_texts
+from ._shared import free_name, kept, map_texts
 from .bitslice import Forest
 from .components import components
-from .decontam import _codes, gram_hashes
-from .simhash import near_links, tiled, whole_groups
+from .hashing import mix, words_and_sizes
+from .simhash import tiled, whole_groups
 
-Q = 4
-RADIUS = 4
 SIMILARITY = 0.8
 MIN_CHARS = 8
-TILE = 1024
+#: Parts of a line, and the words in each.
+PARTS = 6
+SPAN = 4
+#: Lines of up to so many words have the parts that leave one word out; lines from LEAST words on have the others.
+SHORT = 12
+LEAST = 7
+#: Lines of so many different words have them dealt to the parts, and in each part the least SPAN are taken.
+MANY = 48
+#: Lines of so many words have parts of pairs of neighbouring words.
+PAIRED = 256
+#: Differing bits of 128 within which a pair is verified; a pair at a similarity of 0.8 has about 36 (deviation 5).
+RADIUS = 48
+#: Lines under so many words are verified whatever their SimHashes.
+FEW = 8
+TILE = 512
+#: Bytes of a word from which it is preferred.
+LONG_WORD = 4
 #: Characters of lines that are hashed at once: arrays that stay in a core's cache.
 BATCH = 300_000
-#: Grams of a line that are summed at once.
-LONG = 1 << 15
 
-_OTHER = re.compile(r"[\W_]+")
+#: Pairs of parts that a task holds before it gives them out by range, and the fewest ranges.
+HELD = 250_000
+RANGES = 256
+
+_OTHER = re.compile(r"[^\w\s]+")
 _DIGITS = re.compile(r"\d")
+_LATIN = bytes(ord(c.lower()) if c.isalnum() or c == "\n" else 32 for c in map(chr, range(256)))
+#: Scripts written without blanks: their words are pairs of neighbouring characters.
+_WIDE = re.compile("[぀-ヿ㐀-鿿가-힣]+")
+_TIMES = mix(np.arange(1, PARTS + 1, dtype=np.uint64)) | np.uint64(1)
+_FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def _zeros(line: str) -> str:
+    folded = _DIGITS.sub("0", line)
+    return line if 2 * folded.count("0") > len(line) else folded
+
+
+def _plain(text: str) -> str:
+    """A text in lower case with blanks for all but letters, digits and line ends."""
+    try:  # a table of bytes is many times faster
+        return text.encode("latin1").translate(_LATIN).decode("latin1")
+    except UnicodeEncodeError:
+        return _OTHER.sub(" ", text.lower().replace("_", " "))
 
 
 def normalised_lines(text: str) -> list[str]:
-    low = _DIGITS.sub("0", text.lower())
-    return [_OTHER.sub(" ", x).strip() for x in low.split("\n")]
+    low = _plain(text)
+    lines = [" ".join(x.split()) for x in low.split("\n")]
+    return [_zeros(x) for x in lines] if _DIGITS.search(low) else lines
 
 
-def majority(words: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """For rows of 64-bit words (padded by zeros to a power of two): the bits set in over half of each row's n words.
+def normalised(line: str) -> str:
+    """A single line of a text."""
+    out = " ".join(_plain(line).split())
+    return _zeros(out) if _DIGITS.search(out) else out
 
-    Counts are kept vertically, a bit of all 64 counters in one word, and added by carry-save steps.
-    """
-    planes = [words]
-    while planes[0].shape[1] > 1:
-        a, b = [p[:, 0::2] for p in planes], [p[:, 1::2] for p in planes]
-        carry, out = None, []
-        for x, y in zip(a, b, strict=True):
-            half = x ^ y
-            if carry is None:
-                out.append(half)
-                carry = x & y
-            else:
-                out.append(half ^ carry)
-                carry = (x & y) | (half & carry)
-        planes = [*out, carry]
-    over, same = np.zeros(len(words), np.uint64), np.full(len(words), 0xFFFFFFFFFFFFFFFF, np.uint64)
-    limit = (n // 2).astype(np.uint64)
-    for i in range(len(planes) - 1, -1, -1):
-        bit = np.uint64(0) - ((limit >> np.uint64(i)) & np.uint64(1))
-        c = planes[i][:, 0]
-        over |= same & c & ~bit
-        same &= ~(c ^ bit)
-    return over
-
-
-def line_prints(lines: list[str], q: int = Q) -> np.ndarray:
-    """SimHashes of the distinct q-grams of lines of at least q characters.
-
-    A gram counts once: endings that a language repeats all the time would make all its lines alike.
+
+def _spaced(line: str) -> str:
+    return " ".join(_WIDE.sub(lambda m: f" {' '.join(m[0][i : i + 2] for i in range(max(1, len(m[0]) - 1)))} ", line).split())
+
+
+def line_words(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The word hashes of normalised lines, the words' bytes, and each line's first word and number of words."""
+    joined = "\n".join(lines)
+    if _WIDE.search(joined):
+        lines = [*map(_spaced, lines)]
+        joined = "\n".join(lines)
+    n = np.fromiter((x.count(" ") + 1 if x else 0 for x in lines), np.int64, len(lines))
+    words, sizes = words_and_sizes(joined.encode("utf-8", "surrogatepass"))
+    return words, sizes, np.cumsum(n) - n, n
+
+
+def _bits(words: np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(words).astype("<u8").view(np.uint8).reshape(*words.shape, 8), axis=-1, bitorder="little")
+
+
+def _word(bits: np.ndarray) -> np.ndarray:
+    return np.packbits(bits, axis=-1, bitorder="little").view("<u8")[..., 0]
+
+
+def _pairs(words: np.ndarray) -> np.ndarray:
+    """A hash of each word with the one after it."""
+    return mix(words[:-1] * np.uint64(3) + words[1:]) if len(words) > 1 else words[:0]
+
+
+def line_prints(lines: list[str]) -> np.ndarray:
+    """The 128-bit SimHashes of lines over their distinct pairs of neighbouring words, as (lines, 2) words of 64 bits.
+
+    Long lines of one language share most of their words, but few of their pairs.
     """
-    out = np.zeros(len(lines), np.uint64)
-    if not lines:
-        return out
-    size = np.array([*map(len, lines)])
-    hashes = gram_hashes(_codes("".join(lines)), q)
-    start = np.cumsum(size) - size
-    n = size - q + 1
-    width = np.maximum(1, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
-    for w in np.unique(width):
-        rows = np.flatnonzero(width == w)
-        if w > LONG:
-            for r in rows:
-                ones = np.zeros(64, np.int64)
-                own = np.unique(hashes[start[r] : start[r] + int(n[r])])
-                for at in range(0, len(own), LONG):
-                    ones += np.unpackbits(own[at : at + LONG].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-                out[r] = np.packbits(2 * ones > len(own), bitorder="little").view("<u8")[0]
-            continue
-        step = max(1, (1 << 18) // int(w))
-        for k in range(0, len(rows), step):
-            r = rows[k : k + step]
-            col = np.arange(w)
-            at = np.minimum(start[r][:, None] + col, len(hashes) - 1)
-            grams = np.sort(np.where(col < n[r][:, None], hashes[at], np.uint64(0)), axis=1)
-            grams[:, 1:][grams[:, 1:] == grams[:, :-1]] = 0
-            out[r] = majority(grams, np.count_nonzero(grams, axis=1))
+    words, _, start, n = line_words(lines)
+    pairs = _pairs(words)
+    of = np.repeat(np.arange(len(lines)), n)[: len(pairs)]
+    inside = of == np.repeat(np.arange(len(lines)), n)[1:] if len(pairs) else np.zeros(0, bool)
+    pairs, of = pairs[inside], of[inside]
+    order = np.lexsort((pairs, of))
+    pairs, of = pairs[order], of[order]
+    new = np.r_[True, (pairs[1:] != pairs[:-1]) | (of[1:] != of[:-1])] if len(pairs) else np.zeros(0, bool)
+    pairs, of = pairs[new], of[new]
+    out = np.zeros((len(lines), 2), np.uint64)
+    n = np.bincount(of, minlength=len(lines))
+    for half in range(2):
+        hashes = mix(pairs + np.uint64(1 + half))
+        ones = np.zeros((len(lines), 64), np.int32)
+        for at in range(0, len(pairs), 1 << 14):
+            here = of[at : at + (1 << 14)]
+            edge = np.flatnonzero(np.r_[True, here[1:] != here[:-1]])
+            ones[here[edge]] += np.add.reduceat(_bits(hashes[at : at + (1 << 14)]), edge, axis=0, dtype=np.int32)
+        out[:, half] = _word(2 * ones > n[:, None])
     return out
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance by bit-parallel columns."""
+def _chosen(lines: np.ndarray, own: np.ndarray, out: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each of PARTS orders the least SPAN of each line's words (``own``, but those marked by ``out``)."""
+    shift = np.uint64(32) + ((own & np.uint64(1)) << np.uint64(1))
+    at = np.arange(own.shape[1], dtype=np.uint64)
+    for times in _TIMES:
+        order = ((own * times) >> shift << np.uint64(32)) | at
+        order[out] = _FULL << np.uint64(32)
+        pick = np.partition(order, SPAN - 1, axis=1)[:, :SPAN] & np.uint64(0xFFFFFFFF)
+        yield lines, np.take_along_axis(own, pick.astype(np.int64), axis=1)
+
+
+def _dealt(lines: np.ndarray, own: np.ndarray, out: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """One order for all parts: words are dealt to PARTS classes, and the least SPAN of each class are its part."""
+    order = (own >> np.uint64(1)) % np.uint64(PARTS) << np.uint64(61) | (~own & np.uint64(1)) << np.uint64(60) | own >> np.uint64(4)
+    order[out] = _FULL
+    order.sort(axis=1)
+    for j in range(PARTS):
+        first = np.count_nonzero(order < np.uint64(j << 61), axis=1)
+        at = np.minimum(first[:, None] + np.arange(SPAN), order.shape[1] - 1)
+        four = np.take_along_axis(order, at, axis=1)
+        whole = four[:, -1] >> np.uint64(61) == np.uint64(j)
+        yield lines[whole], four[whole]
+
+
+def _parts(wide: np.ndarray, start: np.ndarray, n: np.ndarray, marked: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(line, four of its features) for the parts of the lines ``wide``, whose lowest feature bit tells long words."""
+    width = 1 << np.ceil(np.log2(np.maximum(n[wide], 1))).astype(np.int64)
+    for w in np.unique(width).tolist():
+        rows, step, col = wide[width == w], max(1, (1 << 16) // w), np.arange(w)
+        for k in range(0, len(rows), step):
+            r = rows[k : k + step]
+            own = marked[np.minimum(start[r][:, None] + col, len(marked) - 1)]
+            own[col >= n[r][:, None]] = _FULL
+            own.sort(axis=1)
+            out = own == _FULL
+            out[:, 1:] |= own[:, 1:] == own[:, :-1]  # a word counts once
+            different = w - np.count_nonzero(out, axis=1)
+            few, many = different < MANY, different >= 3 * MANY // 4  # lines in between have both
+            if few.any():
+                yield from _chosen(r[few], own[few], out[few])
+            if many.any():
+                yield from _dealt(r[many], own[many], out[many])
+
+
+def part_prints(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(line number, SimHash) of the parts of lines: the pigeonhole blocks on which lines are joined."""
+    words, sizes, start, n = line_words(lines)
+    rows, prints = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    hashes = mix(words + np.uint64(11))
+    marked = words & ~np.uint64(1) | (sizes >= LONG_WORD).astype(np.uint64)
+    # very long lines share most of a language's words: their parts are of pairs of words
+    pairs = _pairs(words) | np.uint64(1)
+    for line, four in chain(
+        _parts(np.flatnonzero((n >= LEAST) & (n < PAIRED)), start, n, marked),
+        _parts(np.flatnonzero(n >= 3 * PAIRED // 4), start, n - 1, pairs),
+    ):
+        a, b, c, d = mix(four).T
+        rows.append(line)
+        prints.append((a & b & (c | d)) | (c & d & (a | b)))  # the bits set in over half of four words
+    short = np.flatnonzero((n <= SHORT) & (n >= 2))
+    for k in range(0, len(short), 512):
+        r = short[k : k + 512]
+        at = np.minimum(start[r][:, None] + np.arange(SHORT), len(words) - 1)
+        there = np.arange(SHORT) < n[r][:, None]
+        bits = _bits(np.where(there, hashes[at], np.uint64(0))).astype(np.int8)
+        ones = bits.sum(1, dtype=np.int8)
+        whole = _word(2 * ones > n[r][:, None])
+        without = _word(2 * (ones[:, None] - bits) > (n[r] - 1)[:, None, None])
+        size = np.where(there, sizes[at], 0)
+        line, out = np.nonzero(there & (2 * size <= size.sum(1)[:, None]))  # half of the line must be left
+        rows += [r, r[line]]
+        prints += [whole, without[line, out]]
+    return np.concatenate(rows), np.concatenate(prints)
+
+
+def edit_distance(a: str, b: str, most: int | None = None) -> int:
+    """Levenshtein distance by bit-parallel columns; any number over ``most`` where it is over ``most``."""
     if len(a) > len(b):
         a, b = b, a
+    start, end = _common(a, b)  # what both have at either end doesn't count
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
     m = len(a)
     if not m:
         return len(b)
+    limit = len(b) if most is None else most
     eq: dict[str, int] = {}
     for i, c in enumerate(a):
         eq[c] = eq.get(c, 0) | 1 << i
     full, top = (1 << m) - 1, 1 << m - 1
-    up, down, d = full, 0, m
+    up, down, d, left = full, 0, m, len(b)
     for c in b:
         x = eq.get(c, 0)
         h = (((x & up) + up) ^ up) | x | down
         more, less = down | ~(h | up) & full, h & up
         d += bool(more & top) - bool(less & top)
+        left -= 1
+        if d - left > limit:
+            return d - left
         more = (more << 1 | 1) & full
         less = less << 1 & full
         up, down = less | ~((x | down) | more) & full, more & (x | down)
     return d
 
 
+def bound(a: str, b: str) -> int:
+    """No less than the edit distance: the words that occur once in both, in one order, are kept, all between replaced."""
+    x, y = a.split(" "), b.split(" ")
+    at = {w: i for i, w in enumerate(y)}
+    if len(at) < len(y):
+        seen: set[str] = set()
+        for w in y:
+            if w in seen:
+                at.pop(w, None)
+            seen.add(w)
+    once = {}
+    for i, w in enumerate(x):
+        once[w] = -1 if w in once else i
+    anchors = [(i, at[w]) for w, i in once.items() if i >= 0 and w in at]
+    # the longest run of anchors that rises on both sides
+    ends: list[int] = []
+    tails: list[int] = []
+    before: list[int] = []
+    for k, (_, j) in enumerate(anchors):
+        p = bisect_left(ends, j)
+        before.append(tails[p - 1] if p else -1)
+        if p == len(ends):
+            ends.append(j)
+            tails.append(k)
+        else:
+            ends[p] = j
+            tails[p] = k
+    cost, i, j = 0, len(x), len(y)
+    k = tails[-1] if tails else -1
+    while True:
+        s, t = anchors[k] if k >= 0 else (-1, -1)
+        if i - s > 1 or j - t > 1:
+            u, v = x[s + 1 : i], y[t + 1 : j]
+            while u and v and u[-1] == v[-1]:
+                u.pop()
+                v.pop()
+            while u and v and u[0] == v[0]:
+                u.pop(0)
+                v.pop(0)
+            if u or v:
+                cost += max(sum(map(len, u)) + len(u), sum(map(len, v)) + len(v)) - (1 if u and v else 0)
+        if k < 0:
+            return cost
+        i, j, k = s, t, before[k]
+
+
+def _common(a: str, b: str) -> tuple[int, int]:
+    """The characters that both have at the start, and at the end of the rest."""
+    most = min(len(a), len(b))
+    low, high = 0, most
+    while low < high:
+        half = (low + high + 1) // 2
+        low, high = (half, high) if a[low:half] == b[low:half] else (low, half - 1)
+    start, low, high = low, 0, most - low
+    while low < high:
+        half = (low + high + 1) // 2
+        if a[len(a) - half : len(a) - low] == b[len(b) - half : len(b) - low]:
+            low = half
+        else:
+            high = half - 1
+    return start, low
+
+
 def similar(a: str, b: str, least: float) -> bool:
     longest = max(len(a), len(b))
     most = int((1 - least) * longest + 1e-9)
-    return abs(len(a) - len(b)) <= most and edit_distance(a, b) <= most
+    if abs(len(a) - len(b)) > most:
+        return False
+    start, end = _common(a, b)
+    if longest - start - end <= most:
+        return True
+    return bound(a, b) <= most or edit_distance(a, b, most) <= most
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+def _ranges(docs: DataFrame) -> int:
+    """Key ranges for the pairs of ``docs``: one for each 8 MB that its files are said to have, as a power of two."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(1 << 16, max(RANGES, 1 << (size >> 23).bit_length()))
 
 
-def _prints(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, key, line, h, fp) of every line that takes part."""
-    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("key", "line", "h", "fp")]])
+def _prints(docs: DataFrame, key: str, min_chars: int) -> DataFrame:
+    """Two kinds of rows: (doc_id, key, line, h, check) of every line that takes part, where h and check are two hashes
+    of its text; and (part, pairs), packed pairs of parts and h within one key range."""
+    longs = [T.StructField(c, T.LongType()) for c in ("key", "line", "h", "check")]
+    schema = T.StructType([docs.schema["doc_id"], *longs, T.StructField("range", T.IntegerType()), T.StructField("pairs", T.BinaryType())])
+    ranges = _ranges(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
         for b in batches:
-            row, line, texts = [], [], []
-            size = 0
-            for i, t in enumerate(b.column(2).to_pylist()):
-                for k, x in enumerate(normalised_lines(t or "")):
-                    if len(x) >= min_chars:
-                        row.append(i)
-                        line.append(k)
-                        texts.append(x)
-                        size += len(x)
-                if size > BATCH:
-                    yield out(b, row, line, texts)
-                    row, line, texts, size = [], [], [], 0
-            if texts:
-                yield out(b, row, line, texts)
+            for row, line, texts in pieces(b):
+                h, check = np.frombuffer(b"".join([xxh3_128_digest(x) for x in texts]), np.uint64).reshape(-1, 2).T.copy()
+                of, prints = part_prints(texts)
+                held.append(np.stack([prints, h[of]], axis=1))
+                size += len(of)
+                at = pa.array(row, pa.int64())
+                nothing = [pa.nulls(len(row), pa.int32()), pa.nulls(len(row), pa.binary())]
+                longs = [pa.array(line, pa.int64()), pa.array(h.view(np.int64)), pa.array(check.view(np.int64))]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *longs, *nothing], names=[f.name for f in schema])
+                if size > HELD:
+                    yield packed(held, b)
+                    held, size = [], 0
+        if size:
+            yield packed(held, b)
+
+    def pieces(b: pa.RecordBatch) -> Iterator[tuple[list, list, list]]:
+        row, line, texts, size = [], [], [], 0
+        for i, t in enumerate(b.column(2)):
+            for k, x in enumerate(normalised_lines(t.as_py() or "")):
+                if len(x) >= min_chars:
+                    row.append(i)
+                    line.append(k)
+                    texts.append(x)
+                    size += len(x)
+                    if size > BATCH:
+                        yield row, line, texts
+                        row, line, texts, size = [], [], [], 0
+        if texts:
+            yield row, line, texts
+
+    def packed(held: list[np.ndarray], b: pa.RecordBatch) -> pa.RecordBatch:
+        pairs = np.concatenate(held)
+        of = (mix(pairs[:, 0]) % np.uint64(ranges)).astype(np.int64)
+        order = np.lexsort((pairs[:, 1], pairs[:, 0], of))
+        pairs, of = pairs[order], of[order]
+        new = np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)]  # a repeated line gives its parts once
+        pairs, of = pairs[new], of[new]
+        edge = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        blobs = [x.tobytes() for x in np.split(pairs, edge[1:])]
+        n = len(edge)
+        return pa.RecordBatch.from_arrays([pa.nulls(n, b.column(0).type), *[pa.nulls(n, pa.int64())] * 4, pa.array(of[edge].astype(np.int32)), pa.array(blobs, pa.binary())], names=[f.name for f in schema])
+
+    return map_texts(docs.select("doc_id", key, "text"), run, schema)
+
+
+def _several(packed: DataFrame) -> DataFrame:
+    """(k, id) of ``packed`` (range, pairs): the parts that several lines have, and those lines (some more than once)."""
 
-    def out(b: pa.RecordBatch, row: list, line: list, texts: list) -> pa.RecordBatch:
-        at = pa.array(row, pa.int64())
-        h = np.fromiter((xxh64_intdigest(x) for x in texts), np.uint64, len(texts)).view(np.int64)
-        return pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(line, pa.int64()), pa.array(h), pa.array(line_prints(texts).view(np.int64))], names=[f.name for f in schema])
-
-    return map_texts(docs.select("doc_id", "_key", "text"), run, schema)
-
-
-def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(id, root, fp, norm): the normalised lines at ``places`` (key, line, id, root, fp)."""
-    wanted = places.groupBy("key").agg(F.collect_list(F.struct("line", "id", "root", "fp")).alias("at"))
-    joined = docs.select(F.col("_key").alias("key"), "text").join(wanted, "key").select("text", "at.line", "at.id", "at.root", "at.fp")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, firsts, many = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
+        held, size = [], 0
+        for b in chain(batches, [None]):
+            if b is not None:
+                held += [np.frombuffer(x.as_buffer(), np.uint64).reshape(-1, 2) for x in b.column(0)]
+                size += sum(map(len, held[-b.num_rows :])) if b.num_rows else 0
+                if size < max(1_000_000, len(keys) // 4):
+                    continue
+            if not size:
+                continue
+            new = np.concatenate(held)
+            held, size = [], 0
+            k, h = np.concatenate([keys, new[:, 0]]), np.concatenate([firsts, new[:, 1]])
+            known = len(keys)
+            order = np.argsort(k, kind="stable")  # what is known comes first
+            k, h = k[order], h[order]
+            edge = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            group = np.repeat(np.arange(len(edge)), np.diff(np.r_[edge, len(k)]))
+            first = h[edge]
+            was = np.zeros(len(edge), bool)
+            was[group[order < known]] = many
+            other = (h != first[group]) & (order >= known)
+            now = was.copy()
+            now[group[other]] = True
+            keys, firsts, many = k[edge], first, now
+            fresh = now & ~was
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys[fresh], k[other]]).view(np.int64)), pa.array(np.concatenate([first[fresh], h[other]]).view(np.int64))], names=["k", "id"])
+
+    return map_texts(packed.repartition("range").select("pairs"), run, "k long, id long", 1000)
+
+
+def _texts(docs: DataFrame, key: str, places: DataFrame) -> DataFrame:
+    """(id, norm, few, p, q): the normalised lines at ``places`` (key, line, id), and their SimHashes in two halves."""
+    wanted = places.groupBy("key").agg(F.collect_list(F.struct("line", "id")).alias("at"))
+    joined = docs.select(F.col(key).alias("key"), "text").join(wanted.hint("shuffle_hash"), "key").select("text", "at.line", "at.id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
+            ids, norm, size = [], [], 0
             for text, *cols in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                lines = normalised_lines(text)
-                rows += [(i, r, f, lines[k]) for k, i, r, f in zip(*cols, strict=True)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(),) * 3 + (pa.string(),), strict=True)], names=["id", "root", "fp", "norm"])
+                lines = text.split("\n")
+                for k, i in zip(*cols, strict=True):
+                    if k < len(lines):
+                        ids.append(i)
+                        norm.append(normalised(lines[k]))
+                        size += len(norm[-1])
+                if size > BATCH:
+                    yield out(ids, norm)
+                    ids, norm, size = [], [], 0
+            if ids:
+                yield out(ids, norm)
+
+    def out(ids: list, norm: list) -> pa.RecordBatch:
+        prints = line_prints(norm).view(np.int64)
+        few = pa.array([x.count(" ") + 1 < FEW for x in norm])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(norm, pa.string()), few, pa.array(prints[:, 0]), pa.array(prints[:, 1])], names=["id", "norm", "few", "p", "q"])
 
-    return map_texts(joined, run, "id long, root long, fp long, norm string", 200)
+    return map_texts(joined, run, "id long, norm string, few boolean, p long, q long", 200)
 
 
-def _verified(lines: DataFrame, radius: int, similarity: float, tile: int) -> DataFrame:
-    """Edges (a, b) that connect exactly the lines (id, root, fp, norm) with a chain of verified pairs."""
-    rows = tiled(lines, ["root"], tile).select("id", F.xxhash64("root", "_tile").alias("g"), "_right", "fp", "norm")
-    dealt = rows.repartition("g").sortWithinPartitions("g", "_right")
+def _verified(blocks: DataFrame, lines: DataFrame, similarity: float, tile: int) -> DataFrame:
+    """Edges (a, b) that connect exactly the lines (id, norm, ...) of a block (k, id) with a chain of verified pairs."""
+    rows = tiled(blocks, ["k"], tile).select("id", F.xxhash64("k", "_tile").alias("g"), "_right")
+    dealt = rows.join(lines, "id").select("id", "g", "_right", "norm", "few", "p", "q").repartition("g").sortWithinPartitions("g", "_right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, g, right, fp, norm in whole_groups(batches, 2000):
-            prints, forest = fp.view(np.uint64), Forest(len(ids))
-            edge = [*np.flatnonzero(np.r_[True, g[1:] != g[:-1]]).tolist(), len(g)]
-            for low, high in zip(edge, edge[1:], strict=False):
+        for ids, g, right, norm, few, p, q in whole_groups(batches, 2000):
+            p, q, forest = p.view(np.uint64), q.view(np.uint64), Forest(len(ids))
+            size = np.fromiter(map(len, norm), np.int64, len(norm))
+
+            def may_be(i, j):
+                near = np.bitwise_count(p[i] ^ p[j]).astype(np.int64) + np.bitwise_count(q[i] ^ q[j]) <= RADIUS
+                return (near | few[i] | few[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
+
+            edge = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+            many = np.diff(np.r_[edge, len(g)])
+            one = edge[many == 2]
+            for i in one[may_be(one, one + 1)].tolist():
+                if similar(norm[i], norm[i + 1], similarity):
+                    forest.root[i + 1] = i
+            for low, high in zip(edge[many > 2].tolist(), (edge + many)[many > 2].tolist(), strict=True):
                 cut = low + int(np.count_nonzero(~right[low:high]))
                 two = low < cut < high
+                root = forest.root[low:high]
                 for i in range(cut if two else low + 1, high):
                     other = np.arange(low, cut if two else i)
-                    other = other[np.bitwise_count(prints[other] ^ prints[i]) <= radius]
-                    while len(other := other[forest.root[other] != forest.root[i]]):
+                    other = other[may_be(other, i)]
+                    while len(other := other[root[other - low] != root[i - low]]):
                         j, other = int(other[0]), other[1:]
                         if similar(norm[i], norm[j], similarity):
-                            forest.root[forest.root == max(forest.root[i], forest.root[j])] = min(forest.root[i], forest.root[j])
+                            x, y = root[i - low], root[j - low]
+                            root[root == max(x, y)] = min(x, y)
             at = np.flatnonzero(forest.root != np.arange(len(ids)))
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[forest.root[at]])], names=["a", "b"])
 
-    return map_texts(dealt, run, "a long, b long", 1000)
+    return map_texts(dealt, run, "a long, b long", 500)
+
+
+def shared_blocks(packed: DataFrame) -> DataFrame:
+    """(k, id): the parts that several lines have, and those lines; of parts with the same lines only one."""
+    blocks = kept(_several(packed).distinct(), "line-blocks")
+    alike = blocks.groupBy("k").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"))
+    one = kept(alike.groupBy("least", "most", "n", "x").agg(F.min("k").alias("k")).select("k"), "line-one")
+    return kept(blocks.join(one, "k"), "line-blocks")
 
 
-def removed_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, min_chars: int = MIN_CHARS, tile: int = TILE) -> DataFrame:
-    """(key, lines): the numbers of the lines that go, for each text of ``docs`` (with _key) that loses any."""
-    prints = kept(_prints(docs, min_chars), "line-prints")
-    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("key").alias("key"), F.col("line").alias("line"))
-    nodes = kept(prints.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp")), "line-nodes")
-    roots = components(near_links(nodes.select("fp").distinct(), radius), "line-hamming").select(F.col("node").alias("fp"), "root")
-    crowded = nodes.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("fp", F.col("fp").alias("own"))
-    group = crowded.join(roots, "fp", "full").select("fp", F.coalesce("root", "own").alias("root"))
-    places = nodes.join(group, "fp").select(F.col("first.key").alias("key"), F.col("first.line").alias("line"), F.col("h").alias("id"), "root", "fp")
-    lines = kept(_texts(docs, places).dropDuplicates(["id"]), "line-texts")
-    same = components(_verified(lines, radius, similarity, tile), "line-groups").select(F.col("node").alias("h"), F.col("root").alias("g"))
+def removed_lines(docs: DataFrame, key: str, similarity: float = SIMILARITY, min_chars: int = MIN_CHARS, tile: int = TILE) -> DataFrame:
+    """(doc_id, key, lines): the numbers of the lines that go, for each text of ``docs`` (with its ``key``) that loses any."""
+    rows = kept(_prints(docs, key, min_chars), "line-prints")
+    prints = rows.where("range is null").select("doc_id", "key", "line", "h", "check")
+    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("key").alias("key"), F.col("line").alias("line"), F.col("check").alias("check"))
+    nodes = kept(prints.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "line-nodes")
+    blocks = shared_blocks(rows.where("range is not null").select("range", "pairs"))
+    places = nodes.join(blocks.select(F.col("id").alias("h")).distinct(), "h").select(F.col("first.key").alias("key"), F.col("first.line").alias("line"), F.col("h").alias("id"))
+    lines = kept(_texts(docs, key, places).dropDuplicates(["id"]), "line-texts")
+    same = components(_verified(blocks, lines, similarity, tile), "line-groups").select(F.col("node").alias("h"), F.col("root").alias("g"))
     nodes = nodes.join(same, "h", "left").withColumn("g", F.coalesce("g", "h"))
     # of each group the first place stays; a node alone with one occurrence has nothing to remove
-    first = nodes.groupBy("g").agg(F.min("first").alias("stays"), F.sum("n").alias("all")).where("all > 1")
-    losers = kept(nodes.join(first, "g").select("h", "stays"), "line-losers")
-    gone = prints.join(losers, "h").where((F.col("key") != F.col("stays.key")) | (F.col("line") != F.col("stays.line")))
-    return gone.groupBy("key").agg(F.collect_set("line").alias("lines"))
+    first = kept(nodes.groupBy("g").agg(F.min("first").alias("stays"), F.sum("n").alias("all")).where("all > 1"), "line-first")
+    losers = kept(nodes.join(first, "g").select("h", F.col("first.check").alias("own"), "stays.key", "stays.line").select("h", "own", F.col("key").alias("stay_key"), F.col("line").alias("stay_line")), "line-losers")
+    # lines of one hash are equal when their second hash is, too
+    gone = prints.join(losers, "h").where(((F.col("key") != F.col("stay_key")) | (F.col("line") != F.col("stay_line"))) & (F.col("check") == F.col("own")))
+    return kept(gone.groupBy("doc_id", "key").agg(F.collect_set("line").alias("lines")), "line-gone")
 
 
-def line_dedup(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, min_chars: int = MIN_CHARS, tile: int = TILE, counts: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, similarity: float = SIMILARITY, min_chars: int = MIN_CHARS, tile: int = TILE, counts: bool = False) -> DataFrame:
     """``docs`` with one occurrence of every group of fuzzy-equal lines left; with ``counts``, n_lines and n_removed too."""
-    keyed = _keyed(docs)
-    gone = removed_lines(keyed, radius, similarity, min_chars, tile).select(F.col("key").alias("_key"), F.col("lines").alias("_lines"))
-    joined = keyed.join(gone, "_key", "left").drop("_key")
+    key, lines, of = (free_name(docs, x) for x in ("key", "lines", "of"))
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    gone = removed_lines(keyed, key, similarity, min_chars, tile).select(F.col("doc_id").alias(of), F.col("key").alias(key), F.col("lines").alias(lines))
+    joined = keyed.join(gone.hint("shuffle_hash"), (keyed[key] == gone[key]) & keyed["doc_id"].eqNullSafe(gone[of]), "left").drop(gone[key]).drop(key, of)
     parts = F.split("text", "\n")
-    numbers = F.coalesce("_lines", F.array().cast("array<bigint>"))
-    keep = F.filter(parts, lambda x, i: ~F.array_contains(numbers, i.cast("long")))
-    text = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join(keep, "\n"))
-    extra = {"n_lines": F.coalesce(F.size(parts), F.lit(0)), "n_removed": F.size(numbers)} if counts else {}
-    return joined.withColumns(extra | {"text": text}).drop("_lines")
+    numbers = F.coalesce(F.col(lines), F.array().cast("array<bigint>"))
+    left = F.array_except(F.sequence(F.lit(0).cast("long"), F.size(parts).cast("long") - 1), numbers)
+    text = F.when(F.col(lines).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i.cast("int"))), "\n"))
+    n_lines = F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0))
+    extra = {"n_lines": n_lines, "n_removed": F.size(numbers)} if counts else {}
+    return joined.withColumns(extra | {"text": text}).drop(lines)

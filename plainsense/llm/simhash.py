@@ -86,10 +86,10 @@ def tiled(rows: DataFrame, keys: list[str], tile: int) -> DataFrame:
 
     ``rows`` has distinct rows with an ``id`` column; it should be a written table, as it is read twice.
     """
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    alone = counts.where(F.col("_n").between(2, tile)).withColumn("_k", F.lit(1))
-    large = counts.where(F.col("_n") > tile).withColumn("_k", F.ceil(F.col("_n") / tile).cast("int"))
-    sized = rows.join(alone.unionByName(large).drop("_n"), keys)
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    # written before the join: both sides are plain shuffles then, and Spark can split a hot key among tasks
+    counts = kept(counts.select(*keys, F.ceil(F.col("_n") / tile).cast("int").alias("_k")), "tiles")
+    sized = rows.join(counts, keys)
     chunk = F.pmod(F.xxhash64("id"), F.col("_k")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("_k") - 1))
     out = sized.withColumn("_chunk", chunk).withColumn("_other", other)
