@@ -1,15 +1,16 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features are the presence of hashed words, word pairs and pairs with one word between (32-bit hash space). The labelled
-rows are a bounded sample (``MAX_TRAIN`` rows, those with the least hash of doc_id); one task learns from them in
+rows are a bounded sample: those with the least hash of doc_id, up to ``MAX_TRAIN`` documents that have ``MAX_FEATURES``
+features between them (the same ones in every run, however the data are partitioned); one task learns from them in
 repeated online passes with per-coordinate rates, and its L1 term leaves few weights other than zero: hash and weight
 arrays, bounded by the sample, that every scoring task gets. All documents are scored whole, in one narrow pass.
 
 Labels are learnt only from rows whose crc32(doc_id as text) mod 5 is not 0. The score depends on the text alone.
 
 Defined results: a null or empty text scores as a text with no features (the intercept); labels that are null or other
-than 0 and 1 are not learnt from, nor are rows with a null doc_id; with no usable label every score is 0; rows that
-repeat are scored each; an empty table gives an empty result; extra columns are ignored.
+than 0 and 1 are not learnt from, nor are rows with a null doc_id; with no usable label every score is the same and
+under 0.001; rows that repeat are scored each; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from ._shared import map_texts
 from .hashing import mix, word_hashes
 
 MAX_TRAIN = 12_000
-#: Feature hashes that the training task keeps between passes; rows beyond them are seen in the first pass only.
-MAX_HELD = 40_000_000
+#: Features of the sample, 4 bytes each, which the training task holds. Texts of 1,000 words reach MAX_TRAIN first.
+MAX_FEATURES = 40_000_000
 FOLDS = 5
 
 
@@ -109,30 +110,30 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS)) == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, settings: Settings = Settings()) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, settings: Settings = Settings(), max_features: int = MAX_FEATURES) -> Model:
     """The model of ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.select("doc_id", "toxic").distinct()
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_train)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = rows.select(F.xxhash64("doc_id").alias("a"), F.xxhash64("doc_id", "text").alias("b"), F.col("toxic").cast("int").alias("toxic"), "text")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [np.unique(features(t)).tobytes() for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), b.column(1)], names=["f", "toxic"])
+        for x in batches:
+            found = [np.unique(features(t)).tobytes() for t in x.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), x.column(2), pa.array(found, pa.binary())], names=["a", "b", "toxic", "f"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for b in batches:
-            for f, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if size + len(f) // 4 <= MAX_HELD:
-                    held.append((f, y))
-                    size += len(f) // 4
-        held.sort()  # the order in which rows arrive is not the same in every run
-        m = train([(np.frombuffer(f, np.uint32), y) for f, y in held], settings)
+        for x in batches:  # in the order of the hashes: the sample ends where either bound is reached
+            for y, f in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
+                size += len(f) // 4
+                if len(held) < max_train and size <= max_features:
+                    held.append((np.frombuffer(f, np.uint32), y))
+        m = train(held, settings)
         yield pa.RecordBatch.from_arrays([pa.array([m.keys.tobytes()]), pa.array([m.weights.tobytes()]), pa.array([m.intercept])], names=["keys", "weights", "intercept"])
 
-    found = map_texts(rows, distinct, "f binary, toxic int", 200).coalesce(1)
+    found = map_texts(rows, distinct, "a long, b long, toxic int, f binary", 200).repartition(1).sortWithinPartitions("a", "b", "toxic").select("toxic", "f")
     got = map_texts(found, fit, "keys binary, weights binary, intercept double", 200).collect()  # one row
     if not got:
         return train([])
