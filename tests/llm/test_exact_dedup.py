@@ -18,10 +18,9 @@ def brute(rows):
 
 @pytest.mark.parametrize("keys", [ed.BROADCAST_KEYS, 0])
 @pytest.mark.parametrize("prefix", [64, 2])
-def test_against_brute_force(spark, keys, prefix, monkeypatch):
-    monkeypatch.setattr(ed, "BROADCAST_KEYS", keys)
+def test_against_brute_force(spark, keys, prefix):
     docs = spark.createDataFrame([(*r, "x", 1) for r in ROWS], "doc_id long, text string, norm string, group_size int")
-    got = [tuple(r) for r in ed.exact_dedup(docs, prefix_chars=prefix).collect()]
+    got = [tuple(r) for r in ed.exact_dedup(docs, prefix_chars=prefix, broadcast_keys=keys).collect()]
     assert sorted(map(str, got)) == sorted(map(str, brute(ROWS)))
 
 
