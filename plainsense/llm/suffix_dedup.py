@@ -215,7 +215,8 @@ def _large_groups(sides: DataFrame, reach: int) -> DataFrame:
 def repeated_runs(docs: DataFrame, length: int = LENGTH, first: int = FIRST, group: int = GROUP) -> DataFrame:
     """(key, runs: array of (start, end)) of ``docs`` (doc_id, key, text) with a repeated string; runs may overlap."""
     reach = length - first
-    ranks = positions(docs, length, first, ranks_only=True).groupBy("rank").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("rank")
+    # what is joined on the key it was grouped by is written first: a rank that very many positions have can be split then
+    ranks = kept(positions(docs, length, first, ranks_only=True).groupBy("rank").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("rank"), "suffix-ranks")
     alive = kept(positions(docs, length, first).join(ranks, "rank", "left_semi"), "suffix-alive")
     pairs = kept(alive.groupBy("rank", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "pos")).alias("rep")), "suffix-pairs")
     several = kept(pairs.groupBy("rank").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "suffix-several")
@@ -228,8 +229,10 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, first: int = FIRST, gro
     # a surrounding that occurs twice repeats whole: the final step knows how far it reaches
     known = pairs.select("rank", "around", "n").join(ends, ["rank", "around"], "left").where("n > 1 or high is not null")
     known = known.select("rank", "around", F.when(F.col("n") > 1, F.lit(0)).otherwise(F.col("low")).alias("low"), F.when(F.col("n") > 1, F.lit(reach)).otherwise(F.col("high")).alias("high"))
+    known = kept(known, "suffix-known")
     found = alive.join(known, ["rank", "around"]).select("key", F.struct((F.col("pos") - F.col("high")).alias("start"), (F.col("pos") + length - F.col("low")).alias("end")).alias("run"))
-    return found.groupBy("key").agg(F.collect_list("run").alias("runs"))
+    # rows that repeat a document give its runs again: each counts once
+    return found.groupBy("key").agg(F.collect_set("run").alias("runs"))
 
 
 def cut_runs(docs: DataFrame, runs: DataFrame, with_text: bool = False) -> DataFrame:
