@@ -17,6 +17,7 @@ columns are ignored.
 from __future__ import annotations
 
 import heapq
+import json
 import re
 import unicodedata
 import zlib
@@ -35,6 +36,15 @@ END_ID = 0
 #: Words whose ids a worker keeps: about 150 bytes each.
 CACHE_WORDS = 600_000
 SALTS = 64
+#: Rows of the plan, or of the salts' bases, that are broadcast: 48 bytes each. Lengths times salts are 131,072 at most.
+BROADCAST_ROWS = 500_000
+
+# fixed values: what the tokenizer's file must say for its words to be looked up one by one
+_KNOWN = {
+    "normalizer": ["NFC", "Replace", "Lowercase"],
+    "pre_tokenizer": ["Split", "ByteLevel"],
+    "patterns": ["\\s+", "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"],
+}
 
 # fixed values: the tokenizer's own split pattern, and the byte alphabet of byte-level vocabularies
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
@@ -45,11 +55,20 @@ _PLAIN = re.compile(r"[\t-\r -~¡-¬®-±´-¸»¿-ʯ‐-‧€]*\Z")
 _DIGITS = re.compile(r"[²³¹¼-¾]")
 
 
+def _steps(config: dict) -> dict:
+    """The kinds of a tokenizer file's steps, and the patterns that they use."""
+    first = (config.get("normalizer") or {}).get("normalizers") or []
+    then = (config.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    patterns = [(x.get("pattern") or {}).get("Regex") for x in (*first, *then) if "pattern" in x]
+    return {"normalizer": [x["type"] for x in first], "pre_tokenizer": [x["type"] for x in then], "patterns": patterns}
+
+
 class FastTokenizer:
     """The ids of a ``tokenizers`` file as little-endian 32-bit bytes.
 
     Where a text holds only plain characters, its words are looked up in a bounded table and only new ones go through
-    the vocabulary's merges; any other text is encoded whole. Both ways give the tokenizer's ids.
+    the vocabulary's merges; any other text is encoded whole, and so is every text with a file that normalises or splits
+    in another way. Both ways give the tokenizer's ids.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -57,6 +76,7 @@ class FastTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.limit = self.tokenizer.model, cache_words
+        self.known = _steps(json.loads(self.tokenizer.to_str())) == _KNOWN
         spare = iter(range(256, 512))
         self.bytes = {b: chr(b) if b in set(_PRINTED) else chr(next(spare)) for b in range(256)}
         self.words: dict[str, bytes] = {}
@@ -77,7 +97,7 @@ class FastTokenizer:
         return ids
 
     def encode(self, text: str) -> bytes:
-        if "<|" in text or not _PLAIN.match(text) or not unicodedata.is_normalized("NFC", text) or _DIGITS.search(text):
+        if not self.known or "<|" in text or not _PLAIN.match(text) or not unicodedata.is_normalized("NFC", text) or _DIGITS.search(text):
             return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
         if len(self.words) > self.limit:
             self.words.clear()
@@ -181,6 +201,11 @@ def best_fit_runs(lengths: dict[int, int], size: int = SIZE) -> list[tuple[int,
     return plan
 
 
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    """Broadcast up to BROADCAST_ROWS rows, joined beyond."""
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
+
 def pack(pieces: DataFrame, size: int = SIZE, salts: int = SALTS) -> DataFrame:
     """Adds sequence_id and offset to rows with a ``length`` from 1 to ``size``."""
     spark = pieces.sparkSession
@@ -197,11 +222,11 @@ def pack(pieces: DataFrame, size: int = SIZE, salts: int = SALTS) -> DataFrame:
     from pyspark.sql import Window
 
     order = Window.partitionBy("length", "_salt").orderBy(*[c for c in pieces.columns if c not in ("token_ids", "length")])
-    ranked = salted.withColumn("_row", F.row_number().over(order) - 1).join(F.broadcast(base), ["length", "_salt"])
+    ranked = salted.withColumn("_row", F.row_number().over(order) - 1).join(_small(base, len(bases)), ["length", "_salt"])
     ranked = ranked.withColumn("_rank", F.col("_row") + F.col("_base"))
-    # each length's runs as one sorted array: the row's run is found by its rank
+    # a hash join on the length, which tries each run of it: the plan and the bases are checked tables of a few MB
     runs = spark.createDataFrame(plan, "length long, _from long, _to long, _first long, _each long, _at long")
-    ranked = ranked.join(F.broadcast(runs), (ranked["length"] == runs["length"]) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))).drop(runs["length"])
+    ranked = ranked.join(_small(runs, len(plan)), (ranked["length"] == runs["length"]) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))).drop(runs["length"])
     inside = F.col("_rank") - F.col("_from")
     return ranked.select(*pieces.columns, (F.col("_first") + F.floor(inside / F.col("_each"))).cast("long").alias("sequence_id"), (F.col("_at") + F.pmod(inside, F.col("_each")) * F.col("length")).cast("long").alias("offset"))
 

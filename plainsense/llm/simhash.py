@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import kept, map_texts
+from ._shared import free_name, kept, map_texts
 from .bitslice import links
 from .components import components
 
@@ -161,11 +161,13 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> DataFra
 
 def one_of_each(docs: DataFrame, key, prints: DataFrame, nodes: DataFrame, roots: DataFrame, node: str) -> DataFrame:
     """The rows of ``docs`` with the first place of each group of nodes; ``key`` names a row of prints in ``docs``."""
+    name = free_name(docs, "key")
     stays = nodes.join(roots, node, "left").groupBy(F.coalesce("root", node).alias("root")).agg(F.min("first").alias("first"))
-    stays = kept(stays.select(F.col("first.k").alias("_key")), "dedup-stays")
-    out = docs.withColumn("_key", key).join(stays, "_key", "left_semi")
+    stays = kept(stays.select(F.col("first.k").alias(name)), "dedup-stays")
+    out = docs.withColumn(name, key).join(stays, name, "left_semi")
     # a row that is there twice with its doc_id and text stays once
-    twice = prints.groupBy(F.col("doc_id.k").alias("_key")).count().where("count > 1").select("_key").join(stays, "_key", "left_semi")
+    twice = prints.groupBy(F.col("doc_id.k").alias(name)).count().where("count > 1").select(name).join(stays, name, "left_semi")
+    twice = kept(twice, "dedup-twice")
     if not twice.isEmpty():
-        out = out.join(twice, "_key", "left_anti").unionByName(out.join(twice, "_key", "left_semi").dropDuplicates(["_key"]))
-    return out.drop("_key")
+        out = out.join(twice, name, "left_anti").unionByName(out.join(twice, name, "left_semi").dropDuplicates([name]))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

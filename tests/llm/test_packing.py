@@ -94,3 +94,14 @@ def test_runs_are_best_fit_decreasing():
                 at += n
             assert at <= size
         assert len(places) == best_fit_decreasing(lengths, size)
+
+
+def test_other_tokenizer_files_are_encoded_whole():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other, fast = Tokenizer.from_file(path), pk.FastTokenizer(path)
+    for t in [*ODD, "Plain text, with Capitals and 123 numbers."]:
+        want = other.encode(t, add_special_tokens=False).ids
+        assert fast.encode(t) == struct.pack(f"<{len(want)}I", *want), t
+    assert pk.FastTokenizer(pk.default_tokenizer()).known

@@ -27,7 +27,8 @@ def test_each_stage_against_brute_force(spark):
 
     before, docs, after = step("line dedup")
     assert docs.columns == COLUMNS
-    assert [r.text for r in after] == test_line_dedup.brute([(r.doc_id, r.text) for r in before])
+    rows = [(r.doc_id, r.text) for r in before]
+    assert [r.text for r in after] == test_line_dedup.brute(rows, found=test_line_dedup.candidates(rows))
     assert all(r.n_chars == len(r.text) for r in after)
 
     before, docs, after = step("near-dedup")
@@ -56,3 +57,25 @@ def test_keep_one_with_nulls_and_repeated_rows(spark):
 def test_run(spark):
     got = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(got.columns) and got.count() > 100
+
+
+def test_odd_tables_through_the_stages(spark, tmp_path):
+    """Nulls in every column, empty texts, repeated rows, clashing names; and empty tables."""
+    columns = "doc_id long, text string, lang string, source string, n_chars long, key string, h int, _key string, lines string"
+    rows = [(1, "a text of some words here", "en", "s", 25, "k", 1, "x", "y"), (None, None, None, None, None, None, None, None, None), (2, "", "en", None, 0, None, None, None, None), (2, "", "en", None, 0, None, None, None, None), (3, "one more text of other words\nand a line", None, "s", 40, "k", 2, "x", "y")]
+    labels, items = "doc_id long, quality int, toxic int", "item_id long, text string"
+    for name, table in (("full", rows), ("none", [])):
+        base = tmp_path / name
+        spark.createDataFrame(table, columns).write.parquet(str(base / "documents.parquet"))
+        spark.createDataFrame([(1, 1, 0), (None, None, None)][: len(table)], labels).write.parquet(str(base / "labels.parquet"))
+        spark.createDataFrame([(1, None), (None, "short")][: len(table)], items).write.parquet(str(base / "benchmark.parquet"))
+        docs = spark.read.parquet(str(base / "documents.parquet"))
+        for stage, fn in corpus_pipeline.STAGES[:-1]:
+            before, docs = docs.columns, kept(fn(spark, docs, str(base)), "odd")
+            assert docs.columns == before, stage
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(base))
+        assert {str(r.doc_id) for r in docs.collect()} == {str(r.doc_id) for r in packed.collect()}
+        if table:
+            assert {"1", "3"} <= {str(r.doc_id) for r in docs.collect()}
+        else:
+            assert docs.count() == 0
