@@ -26,9 +26,10 @@ def repeated_lines_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_copies_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near copies by five-word shingles of similarity 0.8 or more: one document of each group stays.
+    """Operator 3's method, SimHashes compared bit-sliced, for five-word shingles: one document of each group stays.
 
-    The query of operator 3 has its own figures (SimHash of three-word shingles, radius 3).
+    The radius is wide enough for a similarity of 0.8, which is then checked exactly. The query of operator 3 has its
+    own figures (three-word shingles, radius 3).
     """
     return shingle_dedup.keep_one(docs)
 

@@ -9,14 +9,15 @@ CHUNK = 40_000
 
 
 def planes_of(prints: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bit planes of words of up to 64 fingerprints: (64, words), and the valid lanes of each word.
+    """Bit planes of words of up to 64 fingerprints: (bits, words), and the valid lanes of each word.
 
     Word w holds prints[starts[w] : starts[w] + counts[w]]; lane i of plane b is bit b of its i-th fingerprint.
+    A fingerprint has 64 bits, or is a row of several words of 64 bits.
     """
     words = len(starts)
     lane = np.arange(64)
     at = np.minimum(starts[:, None] + lane, len(prints) - 1)
-    bits = np.unpackbits(prints[at].astype("<u8").view(np.uint8).reshape(words, 64, 8), axis=2, bitorder="little")
+    bits = np.unpackbits(prints[at].astype("<u8").view(np.uint8).reshape(words, 64, -1), axis=2, bitorder="little")
     planes = np.ascontiguousarray(np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")).view("<u8")[:, :, 0]
     full = counts >= 64
     valid = np.where(full, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << np.where(full, 0, counts).astype(np.uint64)) - np.uint64(1))
@@ -35,8 +36,8 @@ def within(queries: np.ndarray, words: np.ndarray, planes: np.ndarray, valid: np
     over = ~valid[w]
     start = (1 << digits) - 1 - radius  # counting from here, the counter overflows past the radius
     sums = [np.full(len(q), 0xFFFFFFFFFFFFFFFF if start >> d & 1 else 0, np.uint64) for d in range(digits)]
-    for b in range(64):
-        flip = np.uint64(0) - ((q >> np.uint64(b)) & np.uint64(1))
+    for b in range(len(planes)):
+        flip = np.uint64(0) - (((q if q.ndim == 1 else q[:, b // 64]) >> np.uint64(b % 64)) & np.uint64(1))
         carry = planes[b][w] ^ flip
         for d in range(digits):
             sums[d], carry = sums[d] ^ carry, sums[d] & carry
@@ -107,6 +108,14 @@ def links(prints: np.ndarray, group: np.ndarray, right: np.ndarray, radius: int)
         k = e - (ends[g] - todo[g])
         row, word = edge[g] + k // per[g], base[g] + k % per[g]
         used, word = np.unique(word, return_inverse=True)
+        if prints.ndim > 1:  # at a wide radius most of a group is one already: words that hold nothing new are left out
+            lanes = forest.root[starts[used][:, None] + np.minimum(np.arange(64), counts[used][:, None] - 1)]
+            new = (lanes.min(1)[word] != forest.root[row]) | (lanes.max(1)[word] != forest.root[row])
+            if not new.any():
+                continue
+            row = row[new]
+            kept, word = np.unique(word[new], return_inverse=True)
+            used = used[kept]
         planes, valid = planes_of(prints, starts[used], counts[used])
         hit, lanes = within(prints[row], word, planes, valid, radius)
         if not len(hit):
