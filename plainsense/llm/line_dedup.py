@@ -12,7 +12,8 @@ have ``PARTS`` parts of ``SPAN`` words each, those with the least values under a
 Parts travel as packed pairs (part, line hash) by key range; a task keeps each part's first line and gives out the parts
 that a second line has. Lines of a common part are brought together with their texts, in tiles of bounded size. Pairs
 whose whole-line SimHashes (128 bits) lie within ``RADIUS`` are verified by edit distance unless they are connected
-already (a bound from the words that both have in the same order settles most without it). Of every
+already, each in the least block that both have (a bound from the words that both have in the same order settles most
+without it; the edit distances of the rest are taken side by side in the lanes of one number). Of every
 connected group of verified (or equal) lines the first occurrence, by doc_id and line number, stays; the others are
 removed from their texts.
 
@@ -28,7 +29,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +66,13 @@ LONG_WORD = 4
 #: Characters of lines that are hashed at once: arrays that stay in a core's cache.
 BATCH = 300_000
 
+#: Pairs whose edit distances are taken at once, and the bits of the number that holds them.
+AT_ONCE = 64
+LANE_BITS = 40_000
+#: Pairs that a task puts off, to take their edit distances together, and how many before it looks which are connected.
+PUT_OFF = 16_384
+TOGETHER = 2048
+
 #: Pairs of parts that a task holds before it gives them out by range, and the fewest ranges.
 HELD = 250_000
 RANGES = 256
@@ -262,6 +270,63 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
     return d
 
 
+def all_within(pairs: list[tuple[str, str]], most: list[int]) -> np.ndarray:
+    """For each pair whether its Levenshtein distance is at most ``most``: pairs of like lengths in the lanes of one number."""
+    out = np.zeros(len(pairs), bool)
+    rest: list[tuple[int, int, int, str, str]] = []
+    for i, (a, b) in enumerate(pairs):
+        if len(a) > len(b):
+            a, b = b, a
+        start, end = _common(a, b)
+        a, b = a[start : len(a) - end], b[start : len(b) - end]
+        if len(b) <= most[i]:
+            out[i] = True
+        elif len(b) - len(a) <= most[i]:
+            rest.append((len(a), len(b), i, a, b))
+    rest.sort(key=lambda x: x[:3])
+    while rest:
+        count = max(1, min(AT_ONCE, LANE_BITS // (rest[-1][0] + 8)))
+        part, rest = rest[-count:], rest[:-count]
+        for (_, _, i, _, _), d in zip(part, _distances([x[3] for x in part], [x[4] for x in part]), strict=True):
+            out[i] = d <= most[i]
+    return out
+
+
+def _distances(short: list[str], long: list[str]) -> list[int]:
+    """Levenshtein distances by bit-parallel columns, as in ``edit_distance``, of pairs side by side in one number.
+
+    A lane has a bit more than its line has characters, into which the addition carries. A pair's distance is the sum
+    of the differences down its last column.
+    """
+    size = max(map(len, short)) // 8 + 1
+    nothing = bytes(size)
+    ends: dict[int, list[int]] = {}
+    columns, masks = [], []
+    for k, (a, b) in enumerate(zip(short, long, strict=True)):
+        eq: dict[str, int] = {}
+        for i, c in enumerate(a):
+            eq[c] = eq.get(c, 0) | 1 << i
+        lane = {c: x.to_bytes(size, "little") for c, x in eq.items()}
+        columns.append([lane.get(c, nothing) for c in b])
+        masks.append(((1 << len(a)) - 1).to_bytes(size, "little"))
+        ends.setdefault(len(b), []).append(k)
+    full = int.from_bytes(b"".join(masks), "little")
+    first = int.from_bytes((b"\1" + bytes(size - 1)) * len(short), "little") & full
+    up, down, out = full, 0, [0] * len(short)
+    for n, column in enumerate(zip_longest(*columns, fillvalue=nothing), 1):
+        x = int.from_bytes(b"".join(column), "little")
+        either = x | down
+        h = (((x & up) + up) ^ up) | either
+        more = ((down | (h | up) & full ^ full) << 1 | first) & full
+        less = (h & up) << 1 & full
+        up, down = less | (either | more) ^ full, more & either
+        for k in ends.get(n, ()):
+            at = slice(k * size, (k + 1) * size)
+            plus, minus = (int.from_bytes(v.to_bytes(size * len(short), "little")[at], "little") for v in (up, down))
+            out[k] = n + plus.bit_count() - minus.bit_count()
+    return out
+
+
 def bound(a: str, b: str) -> int:
     """No less than the edit distance: the words that occur once in both, in one order, are kept, all between replaced."""
     x, y = a.split(" "), b.split(" ")
@@ -325,15 +390,17 @@ def _common(a: str, b: str) -> tuple[int, int]:
     return start, low
 
 
-def similar(a: str, b: str, least: float) -> bool:
-    longest = max(len(a), len(b))
-    most = int((1 - least) * longest + 1e-9)
+def _most(a: str, b: str, least: float) -> int:
+    return int((1 - least) * max(len(a), len(b)) + 1e-9)
+
+
+def surely(a: str, b: str, least: float) -> bool | None:
+    """Whether two lines are similar, or None where only their edit distance can tell."""
+    longest, most = max(len(a), len(b)), _most(a, b, least)
     if abs(len(a) - len(b)) > most:
         return False
     start, end = _common(a, b)
-    if longest - start - end <= most:
-        return True
-    return bound(a, b) <= most or edit_distance(a, b, most) <= most
+    return True if longest - start - end <= most or bound(a, b) <= most else None
 
 
 def _ranges(docs: DataFrame) -> int:
@@ -463,37 +530,70 @@ def _texts(docs: DataFrame, key: str, places: DataFrame) -> DataFrame:
 
 
 def _verified(blocks: DataFrame, lines: DataFrame, similarity: float, tile: int) -> DataFrame:
-    """Edges (a, b) that connect exactly the lines (id, norm, ...) of a block (k, id) with a chain of verified pairs."""
-    rows = tiled(blocks, ["k"], tile).select("id", F.xxhash64("k", "_tile").alias("g"), "_right")
-    dealt = rows.join(lines, "id").select("id", "g", "_right", "norm", "few", "p", "q").repartition("g").sortWithinPartitions("g", "_right")
+    """Edges (a, b) that connect exactly the lines (id, norm, ...) of a block (k, id) with a chain of verified pairs.
+
+    A pair of several blocks is verified in the least of them.
+    """
+    rows = tiled(blocks, ["k"], tile).select("id", F.xxhash64("k", "_tile").alias("g"), "_right", "k")
+    # written before the join, as in ``tiled``
+    lines = kept(lines.join(blocks.groupBy("id").agg(F.collect_list("k").alias("ks")), "id"), "line-blocks-of")
+    dealt = rows.join(lines, "id").select("id", "g", "_right", "norm", "few", "p", "q", "k", "ks").repartition("g").sortWithinPartitions("g", "_right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, g, right, norm, few, p, q in whole_groups(batches, 2000):
+        for ids, g, right, norm, few, p, q, key, ks in whole_groups(batches, 20_000):
             p, q, forest = p.view(np.uint64), q.view(np.uint64), Forest(len(ids))
             size = np.fromiter(map(len, norm), np.int64, len(norm))
+            doubt: list[tuple[int, int]] = []
+            n = np.fromiter(map(len, ks), np.int64, len(ks))
+            own = np.concatenate(ks)
+            # each line's blocks, the first repeated to fill up
+            own = own[(np.cumsum(n) - n)[:, None] + np.where(np.arange(n.max()) < n[:, None], np.arange(n.max()), 0)]
 
             def may_be(i, j):
+                """Those of ``i`` that are to be verified with ``j`` in their group."""
                 near = np.bitwise_count(p[i] ^ p[j]).astype(np.int64) + np.bitwise_count(q[i] ^ q[j]) <= RADIUS
-                return (near | few[i] | few[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
+                near = (near | few[i] | few[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
+                i, j = i[near], j[near] if np.ndim(j) else j
+                both = (own[i][:, :, None] == own[j][..., None, :]).any(-1)
+                return i[np.where(both, own[i], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max) == key[i]]
+
+            def settle():
+                """The pairs put off that aren't connected by now, by edit distance."""
+                for k in range(0, len(doubt), TOGETHER):
+                    i, j = np.array(doubt[k : k + TOGETHER]).T
+                    apart = forest.root[i] != forest.root[j]
+                    i, j = i[apart], j[apart]
+                    pairs = [(norm[x], norm[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+                    yes = all_within(pairs, [_most(a, b, similarity) for a, b in pairs])
+                    forest.join(i[yes], j[yes])
+                doubt.clear()
 
             edge = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
             many = np.diff(np.r_[edge, len(g)])
             one = edge[many == 2]
-            for i in one[may_be(one, one + 1)].tolist():
-                if similar(norm[i], norm[i + 1], similarity):
+            for i in may_be(one, one + 1).tolist():
+                sure = surely(norm[i], norm[i + 1], similarity)
+                if sure:
                     forest.root[i + 1] = i
+                elif sure is None:
+                    doubt.append((i, i + 1))
             for low, high in zip(edge[many > 2].tolist(), (edge + many)[many > 2].tolist(), strict=True):
                 cut = low + int(np.count_nonzero(~right[low:high]))
                 two = low < cut < high
-                root = forest.root[low:high]
                 for i in range(cut if two else low + 1, high):
-                    other = np.arange(low, cut if two else i)
-                    other = other[may_be(other, i)]
+                    root = forest.root[low:high]
+                    other = may_be(np.arange(low, cut if two else i), i)
                     while len(other := other[root[other - low] != root[i - low]]):
                         j, other = int(other[0]), other[1:]
-                        if similar(norm[i], norm[j], similarity):
+                        sure = surely(norm[i], norm[j], similarity)
+                        if sure:
                             x, y = root[i - low], root[j - low]
                             root[root == max(x, y)] = min(x, y)
+                        elif sure is None:
+                            doubt.append((i, j))
+                    if len(doubt) >= PUT_OFF:
+                        settle()
+            settle()
             at = np.flatnonzero(forest.root != np.arange(len(ids)))
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[forest.root[at]])], names=["a", "b"])

@@ -162,3 +162,35 @@ def test_edit_distance_and_prints():
         for half in range(2):
             ones = [sum(int(v) >> i & 1 for v in ld.mix(h + np.uint64(1 + half))) for i in range(64)] if len(h) < 100 else None
             assert ones is None or got[half] == sum(1 << i for i in range(64) if 2 * ones[i] > len(h))
+
+
+def test_edit_distances_side_by_side():
+    """Pairs taken together have the answers that each has alone, whatever their lengths, letters and bounds."""
+    rnd = random.Random(5)
+    pairs, most = [], []
+    for k in range(900):
+        a = "".join(rnd.choice("abcdé語😀 "[: 2 + k % 7]) for _ in range(rnd.choice([0, 1, 5, 63, 64, 65, 130, 200, 500])))
+        b = list(a)
+        for _ in range(rnd.randint(0, 1 + len(a) // 3)):
+            at = rnd.randrange(len(b) + 1)
+            b[at : at + rnd.randint(0, 2)] = rnd.choice(["", "x", "a"])
+        pairs.append((a, "".join(b)))
+        most.append(max(0, ld.edit_distance(*pairs[-1]) + rnd.choice([-30, -2, -1, 0, 1, 20])))
+    got = ld.all_within(pairs, most)
+    assert got.tolist() == [ld.edit_distance(a, b) <= n for (a, b), n in zip(pairs, most, strict=True)]
+    assert 200 < got.sum() < 800
+
+
+def test_pairs_in_doubt_join_groups(spark):
+    """Lines of one part that only the edit distance tells apart or joins, more than are taken at once."""
+    rnd = random.Random(6)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(8)) for _ in range(40)]
+    base = [*words[:4], *(rnd.choice(words) for _ in range(20))]
+
+    def line():
+        x = [w if k < 4 or rnd.random() < 0.5 else w[:4] + rnd.choice("stuvwxyz") * rnd.randint(1, 5) + w[5:] for k, w in enumerate(base)]
+        return " ".join(x)
+
+    rows = [(i, line()) for i in range(150)]
+    got = sorted((r.doc_id, r.text) for r in ld.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [t for _, t in got] == brute(rows, found=candidates(rows))
