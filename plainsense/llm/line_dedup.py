@@ -69,9 +69,12 @@ BATCH = 300_000
 #: Pairs whose edit distances are taken at once, and the bits of the number that holds them.
 AT_ONCE = 64
 LANE_BITS = 40_000
-#: Pairs that a task puts off, to take their edit distances together, and how many before it looks which are connected.
-PUT_OFF = 16_384
-TOGETHER = 2048
+#: Edits from which a pair is taken alone, within a band of its columns.
+BANDED = 400
+#: Pairs that a task puts off, to take the edit distances of those together that are needed.
+PUT_OFF = 65_536
+#: Pairs of rows whose SimHashes are compared at once.
+PAIRS = 200_000
 
 #: Pairs of parts that a task holds before it gives them out by range, and the fewest ranges.
 HELD = 250_000
@@ -80,6 +83,7 @@ RANGES = 256
 _OTHER = re.compile(r"[^\w\s]+")
 _DIGITS = re.compile(r"\d")
 _LATIN = bytes(ord(c.lower()) if c.isalnum() or c == "\n" else 32 for c in map(chr, range(256)))
+_ZEROS = bytes(48 if 48 <= c <= 57 else c for c in range(256))
 #: Scripts written without blanks: their words are pairs of neighbouring characters.
 _WIDE = re.compile("[぀-ヿ㐀-鿿가-힣]+")
 _TIMES = mix(np.arange(1, PARTS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -100,9 +104,20 @@ def _plain(text: str) -> str:
 
 
 def normalised_lines(text: str) -> list[str]:
-    low = _plain(text)
-    lines = [" ".join(x.split()) for x in low.split("\n")]
-    return [_zeros(x) for x in lines] if _DIGITS.search(low) else lines
+    try:
+        raw = text.encode("latin1")
+    except UnicodeEncodeError:
+        low = _plain(text)
+        lines = [" ".join(x.split()) for x in low.split("\n")]
+        return [_zeros(x) for x in lines] if _DIGITS.search(low) else lines
+    low = raw.translate(_LATIN)
+    while b"  " in low:
+        low = low.replace(b"  ", b" ")
+    low = low.replace(b" \n", b"\n").replace(b"\n ", b"\n").strip(b" ")
+    lines, zeros = low.decode("latin1").split("\n"), low.translate(_ZEROS)  # no other digits are in Latin-1
+    if low == zeros:
+        return lines
+    return [x if 2 * z.count("0") > len(x) else z for x, z in zip(lines, zeros.decode("latin1").split("\n"), strict=True)]
 
 
 def normalised(line: str) -> str:
@@ -118,11 +133,12 @@ def _spaced(line: str) -> str:
 def line_words(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The word hashes of normalised lines, the words' bytes, and each line's first word and number of words."""
     joined = "\n".join(lines)
-    if _WIDE.search(joined):
+    data = joined.encode("utf-8", "surrogatepass")
+    if (np.frombuffer(data, np.uint8) >= 0xE3).any() and _WIDE.search(joined):  # their first byte is no less
         lines = [*map(_spaced, lines)]
-        joined = "\n".join(lines)
+        data = "\n".join(lines).encode("utf-8", "surrogatepass")
     n = np.fromiter((x.count(" ") + 1 if x else 0 for x in lines), np.int64, len(lines))
-    words, sizes = words_and_sizes(joined.encode("utf-8", "surrogatepass"))
+    words, sizes = words_and_sizes(data)
     return words, sizes, np.cumsum(n) - n, n
 
 
@@ -170,11 +186,13 @@ def _chosen(lines: np.ndarray, own: np.ndarray, out: np.ndarray) -> Iterator[tup
     """For each of PARTS orders the least SPAN of each line's words (``own``, but those marked by ``out``)."""
     shift = np.uint64(32) + ((own & np.uint64(1)) << np.uint64(1))
     at = np.arange(own.shape[1], dtype=np.uint64)
+    first = np.arange(len(own))[:, None] * own.shape[1]
     for times in _TIMES:
         order = ((own * times) >> shift << np.uint64(32)) | at
         order[out] = _FULL << np.uint64(32)
-        pick = np.partition(order, SPAN - 1, axis=1)[:, :SPAN] & np.uint64(0xFFFFFFFF)
-        yield lines, np.take_along_axis(own, pick.astype(np.int64), axis=1)
+        order.partition(SPAN - 1, axis=1)
+        pick = (order[:, :SPAN] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        yield lines, own.ravel()[pick + first]
 
 
 def _dealt(lines: np.ndarray, own: np.ndarray, out: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -182,10 +200,11 @@ def _dealt(lines: np.ndarray, own: np.ndarray, out: np.ndarray) -> Iterator[tupl
     order = (own >> np.uint64(1)) % np.uint64(PARTS) << np.uint64(61) | (~own & np.uint64(1)) << np.uint64(60) | own >> np.uint64(4)
     order[out] = _FULL
     order.sort(axis=1)
+    row, flat, first = np.arange(len(order)) * order.shape[1], order.ravel(), np.zeros(len(order), np.int64)
+    dealt = (order >> np.uint64(61)).astype(np.uint8)
     for j in range(PARTS):
-        first = np.count_nonzero(order < np.uint64(j << 61), axis=1)
-        at = np.minimum(first[:, None] + np.arange(SPAN), order.shape[1] - 1)
-        four = np.take_along_axis(order, at, axis=1)
+        first += np.count_nonzero(dealt == j - 1, axis=1) if j else 0
+        four = flat[row[:, None] + np.minimum(first[:, None] + np.arange(SPAN), order.shape[1] - 1)]
         whole = four[:, -1] >> np.uint64(61) == np.uint64(j)
         yield lines[whole], four[whole]
 
@@ -230,10 +249,13 @@ def part_prints(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         r = short[k : k + 512]
         at = np.minimum(start[r][:, None] + np.arange(SHORT), len(words) - 1)
         there = np.arange(SHORT) < n[r][:, None]
-        bits = _bits(np.where(there, hashes[at], np.uint64(0))).astype(np.int8)
+        bits = _bits(np.where(there, hashes[at], np.uint64(0))).view(np.int8)
         ones = bits.sum(1, dtype=np.int8)
-        whole = _word(2 * ones > n[r][:, None])
-        without = _word(2 * (ones[:, None] - bits) > (n[r] - 1)[:, None, None])
+        half = (n[r] // 2).astype(np.int8)[:, None]
+        whole = _word(ones > half)
+        # one less of ones and of words: over half of those left
+        most = ones - ((n[r] - 1) // 2).astype(np.int8)[:, None]
+        without = _word(most[:, None] > bits)
         size = np.where(there, sizes[at], 0)
         line, out = np.nonzero(there & (2 * size <= size.sum(1)[:, None]))  # half of the line must be left
         rows += [r, r[line]]
@@ -282,7 +304,10 @@ def all_within(pairs: list[tuple[str, str]], most: list[int]) -> np.ndarray:
         if len(b) <= most[i]:
             out[i] = True
         elif len(b) - len(a) <= most[i]:
-            rest.append((len(a), len(b), i, a, b))
+            if BANDED <= most[i] < len(a):
+                out[i] = _in_band(a, b, most[i])
+            else:
+                rest.append((len(a), len(b), i, a, b))
     rest.sort(key=lambda x: x[:3])
     while rest:
         count = max(1, min(AT_ONCE, LANE_BITS // (rest[-1][0] + 8)))
@@ -292,6 +317,35 @@ def all_within(pairs: list[tuple[str, str]], most: list[int]) -> np.ndarray:
     return out
 
 
+def _in_band(a: str, b: str, most: int) -> bool:
+    """Whether the distance of ``a`` to ``b``, which is no shorter, is at most ``most`` (under both lengths).
+
+    Bit-parallel columns that hold only the rows within ``most`` of the diagonal and move down it by a row each (Hyyrö);
+    ``d`` is the distance in the lowest of these rows, then in the last.
+    """
+    m, n = len(a), len(b)
+    letters = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32)
+    eq = {c: int.from_bytes(np.packbits(letters == ord(c), bitorder="little").tobytes(), "little") << most for c in set(a)}
+    full, last = (1 << 2 * most + 1) - 1, 1 << 2 * most
+    up, down, d, limit = full >> most << most, 0, most, 2 * most + n - m
+    for i, c in enumerate(b):
+        x = eq.get(c, 0) >> i & full
+        zero = ((x & up) + up ^ up | x | down) & full
+        more, less = down | (zero | up) ^ full, zero & up
+        if i < m - most:
+            d += zero < last
+            if d > limit:
+                return False
+        else:
+            last >>= 1
+            d += bool(more & last) - bool(less & last)
+            if d - (n - 1 - i) > most:
+                return False
+        zero >>= 1
+        up, down = less | (zero | more) ^ full, zero & more
+    return d <= most
+
+
 def _distances(short: list[str], long: list[str]) -> list[int]:
     """Levenshtein distances by bit-parallel columns, as in ``edit_distance``, of pairs side by side in one number.
 
@@ -327,20 +381,30 @@ def _distances(short: list[str], long: list[str]) -> list[int]:
     return out
 
 
+def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Marks edges (a, b) that connect all that the edges do without a circle, in the order given."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = root[x]
+        return x
+
+    out = np.zeros(len(a), bool)
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = find(x), find(y)
+        if x != y:
+            root[x] = y
+            out[k] = True
+    return out
+
+
 def bound(a: str, b: str) -> int:
-    """No less than the edit distance: the words that occur once in both, in one order, are kept, all between replaced."""
+    """No less than the edit distance: words of both in one order are kept, all between is replaced."""
     x, y = a.split(" "), b.split(" ")
-    at = {w: i for i, w in enumerate(y)}
-    if len(at) < len(y):
-        seen: set[str] = set()
-        for w in y:
-            if w in seen:
-                at.pop(w, None)
-            seen.add(w)
-    once = {}
-    for i, w in enumerate(x):
-        once[w] = -1 if w in once else i
-    anchors = [(i, at[w]) for w, i in once.items() if i >= 0 and w in at]
+    at = dict(zip(y, range(len(y)), strict=True))
+    anchors = [(i, at[w]) for i, w in enumerate(x) if w in at]
     # the longest run of anchors that rises on both sides
     ends: list[int] = []
     tails: list[int] = []
@@ -400,7 +464,12 @@ def surely(a: str, b: str, least: float) -> bool | None:
     if abs(len(a) - len(b)) > most:
         return False
     start, end = _common(a, b)
-    return True if longest - start - end <= most or bound(a, b) <= most else None
+    if longest - start - end <= most:
+        return True
+    # what both have at either end is kept, but for the words that a cut would divide
+    start, cut = a.rfind(" ", 0, start) + 1, a.find(" ", len(a) - end)
+    end = len(a) - cut if cut >= 0 else 0
+    return True if bound(a[start : len(a) - end], b[start : len(b) - end]) <= most else None
 
 
 def _ranges(docs: DataFrame) -> int:
@@ -422,8 +491,9 @@ def _prints(docs: DataFrame, key: str, min_chars: int) -> DataFrame:
         for b in batches:
             for row, line, texts in pieces(b):
                 h, check = np.frombuffer(b"".join([xxh3_128_digest(x) for x in texts]), np.uint64).reshape(-1, 2).T.copy()
-                of, prints = part_prints(texts)
-                held.append(np.stack([prints, h[of]], axis=1))
+                once = np.unique(h, return_index=True)[1]  # a repeated line gives its parts once
+                of, prints = part_prints([texts[i] for i in once.tolist()])
+                held.append(np.stack([prints, h[once[of]]], axis=1))
                 size += len(of)
                 at = pa.array(row, pa.int64())
                 nothing = [pa.nulls(len(row), pa.int32()), pa.nulls(len(row), pa.binary())]
@@ -452,10 +522,10 @@ def _prints(docs: DataFrame, key: str, min_chars: int) -> DataFrame:
 
     def packed(held: list[np.ndarray], b: pa.RecordBatch) -> pa.RecordBatch:
         pairs = np.concatenate(held)
-        of = (mix(pairs[:, 0]) % np.uint64(ranges)).astype(np.int64)
-        order = np.lexsort((pairs[:, 1], pairs[:, 0], of))
-        pairs, of = pairs[order], of[order]
-        new = np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)]  # a repeated line gives its parts once
+        place = mix(pairs[:, 0])  # one to one, and its first bits are the range
+        order = np.lexsort((pairs[:, 1], place))
+        pairs, of = pairs[order], (place[order] >> np.uint64(65 - ranges.bit_length())).astype(np.int64)
+        new = np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)]
         pairs, of = pairs[new], of[new]
         edge = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
         blobs = [x.tobytes() for x in np.split(pairs, edge[1:])]
@@ -501,102 +571,135 @@ def _several(packed: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, key: str, places: DataFrame) -> DataFrame:
-    """(id, norm, few, p, q): the normalised lines at ``places`` (key, line, id), and their SimHashes in two halves."""
-    wanted = places.groupBy("key").agg(F.collect_list(F.struct("line", "id")).alias("at"))
-    joined = docs.select(F.col(key).alias("key"), "text").join(wanted.hint("shuffle_hash"), "key").select("text", "at.line", "at.id")
+    """(norm, few, p, q, tiles): the normalised lines at ``places`` (key, line, tiles), and their SimHashes in two halves."""
+    wanted = places.groupBy("key").agg(F.collect_list(F.struct("line", "tiles")).alias("at"))
+    joined = docs.select(F.col(key).alias("key"), "text").join(wanted.hint("shuffle_hash"), "key").select("key", "text", "at.line", "at.tiles")
+    schema = T.StructType([*T._parse_datatype_string("norm string, few boolean, p long, q long").fields, places.schema["tiles"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # rows that repeat both doc_id and text are one document
         for b in batches:
-            ids, norm, size = [], [], 0
-            for text, *cols in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            tiles = b.column(3).flatten()
+            first = np.r_[0, np.cumsum(b.column(2).value_lengths().to_numpy())]
+            at, norm, size = [], [], 0
+            for row, (this, text, of) in enumerate(zip(*[b.column(i).to_pylist() for i in range(3)], strict=True)):
+                if this in seen:
+                    continue
+                seen.add(this)
                 lines = text.split("\n")
-                for k, i in zip(*cols, strict=True):
+                for i, k in enumerate(of, int(first[row])):
                     if k < len(lines):
-                        ids.append(i)
+                        at.append(i)
                         norm.append(normalised(lines[k]))
                         size += len(norm[-1])
                 if size > BATCH:
-                    yield out(ids, norm)
-                    ids, norm, size = [], [], 0
-            if ids:
-                yield out(ids, norm)
+                    yield out(norm, tiles, at)
+                    at, norm, size = [], [], 0
+            if at:
+                yield out(norm, tiles, at)
 
-    def out(ids: list, norm: list) -> pa.RecordBatch:
+    def out(norm: list, tiles: pa.Array, at: list) -> pa.RecordBatch:
         prints = line_prints(norm).view(np.int64)
         few = pa.array([x.count(" ") + 1 < FEW for x in norm])
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(norm, pa.string()), few, pa.array(prints[:, 0]), pa.array(prints[:, 1])], names=["id", "norm", "few", "p", "q"])
+        return pa.RecordBatch.from_arrays([pa.array(norm, pa.string()), few, pa.array(prints[:, 0]), pa.array(prints[:, 1]), tiles.take(pa.array(at, pa.int64()))], names=["norm", "few", "p", "q", "tiles"])
+
+    return map_texts(joined, run, schema, 200)
 
-    return map_texts(joined, run, "id long, norm string, few boolean, p long, q long", 200)
 
+def _tiles(blocks: DataFrame, tile: int) -> DataFrame:
+    """(id, tiles): for each line of ``blocks`` (k, id) its blocks' tiles, with all of its blocks."""
+    rows = tiled(blocks, ["k"], tile).select("id", F.struct(F.xxhash64("k", "_tile").alias("g"), "_right", "k").alias("t"))
+    return rows.groupBy("id").agg(F.collect_list("t").alias("of")).select("id", F.struct("id", F.array_distinct("of.k").alias("ks"), "of").alias("tiles"))
 
-def _verified(blocks: DataFrame, lines: DataFrame, similarity: float, tile: int) -> DataFrame:
-    """Edges (a, b) that connect exactly the lines (id, norm, ...) of a block (k, id) with a chain of verified pairs.
+
+def _verified(lines: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) that connect exactly the lines (norm, ..., tiles) of a block with a chain of verified pairs.
 
     A pair of several blocks is verified in the least of them.
     """
-    rows = tiled(blocks, ["k"], tile).select("id", F.xxhash64("k", "_tile").alias("g"), "_right", "k")
-    # written before the join, as in ``tiled``
-    lines = kept(lines.join(blocks.groupBy("id").agg(F.collect_list("k").alias("ks")), "id"), "line-blocks-of")
-    dealt = rows.join(lines, "id").select("id", "g", "_right", "norm", "few", "p", "q", "k", "ks").repartition("g").sortWithinPartitions("g", "_right")
+    rows = lines.select("tiles.id", "norm", "few", "p", "q", "tiles.ks", F.explode("tiles.of").alias("t"))
+    dealt = rows.select("id", "t.g", "t._right", "norm", "few", "p", "q", "t.k", "ks").repartition("g").sortWithinPartitions("g", "_right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, g, right, norm, few, p, q, key, ks in whole_groups(batches, 20_000):
-            p, q, forest = p.view(np.uint64), q.view(np.uint64), Forest(len(ids))
+            p, q = p.view(np.uint64), q.view(np.uint64)
             size = np.fromiter(map(len, norm), np.int64, len(norm))
-            doubt: list[tuple[int, int]] = []
-            n = np.fromiter(map(len, ks), np.int64, len(ks))
+            n, most = np.fromiter(map(len, ks), np.int64, len(ks)), np.iinfo(np.int64).max
             own = np.concatenate(ks)
             # each line's blocks, the first repeated to fill up
             own = own[(np.cumsum(n) - n)[:, None] + np.where(np.arange(n.max()) < n[:, None], np.arange(n.max()), 0)]
+            names, node = np.unique(ids, return_inverse=True)  # a line may be in several groups
+            root, of = list(range(len(names))), node.tolist()
+            doubt: list[tuple[int, int]] = []
+
+            def find(x: int) -> int:
+                while (up := root[x]) != x:
+                    root[x] = x = root[up]
+                return x
+
+            def apart(i, j):
+                return np.bitwise_count(p[i] ^ p[j]).astype(np.int64) + np.bitwise_count(q[i] ^ q[j])
 
             def may_be(i, j):
-                """Those of ``i`` that are to be verified with ``j`` in their group."""
-                near = np.bitwise_count(p[i] ^ p[j]).astype(np.int64) + np.bitwise_count(q[i] ^ q[j]) <= RADIUS
-                near = (near | few[i] | few[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
-                i, j = i[near], j[near] if np.ndim(j) else j
-                both = (own[i][:, :, None] == own[j][..., None, :]).any(-1)
-                return i[np.where(both, own[i], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max) == key[i]]
+                """Those of the pairs (i, j) of one group that are to be verified there."""
+                near = (apart(i, j) <= RADIUS) | few[i] | few[j]
+                near &= np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9
+                i, j = i[near], j[near]
+                step, least = max(1, (1 << 22) // own.shape[1] ** 2), np.zeros(len(i), bool)
+                for k in range(0, len(i), step):
+                    a, b = own[i[k : k + step]], own[j[k : k + step]]
+                    both = (a[:, :, None] == b[:, None, :]).any(-1)
+                    least[k : k + step] = np.where(both, a, most).min(1) == key[i[k : k + step]]
+                return i[least], j[least]
 
             def settle():
-                """The pairs put off that aren't connected by now, by edit distance."""
-                for k in range(0, len(doubt), TOGETHER):
-                    i, j = np.array(doubt[k : k + TOGETHER]).T
-                    apart = forest.root[i] != forest.root[j]
-                    i, j = i[apart], j[apart]
-                    pairs = [(norm[x], norm[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+                """The pairs put off, by edit distance: first those that could connect what is apart, the likeliest of
+                them first, and the others only where these turned out not to."""
+                whole = Forest(len(names))
+                whole.root = np.array([find(x) for x in range(len(names))])
+                i, j = np.array(doubt, np.int64).reshape(-1, 2).T
+                order = np.argsort(apart(i, j), kind="stable")
+                i, j = i[order], j[order]
+                while len(i):
+                    now = spanning(whole.root[node[i]], whole.root[node[j]])
+                    pairs = [(norm[x], norm[y]) for x, y in zip(i[now].tolist(), j[now].tolist(), strict=True)]
                     yes = all_within(pairs, [_most(a, b, similarity) for a, b in pairs])
-                    forest.join(i[yes], j[yes])
+                    whole.join(node[i[now][yes]], node[j[now][yes]])
+                    left = ~now & (whole.root[node[i]] != whole.root[node[j]])
+                    i, j = i[left], j[left]
                 doubt.clear()
+                root[:] = whole.root.tolist()
 
+            # a row's pairs are with the rows before it in its group, or with the left ones where there are both sides
             edge = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-            many = np.diff(np.r_[edge, len(g)])
-            one = edge[many == 2]
-            for i in may_be(one, one + 1).tolist():
-                sure = surely(norm[i], norm[i + 1], similarity)
-                if sure:
-                    forest.root[i + 1] = i
-                elif sure is None:
-                    doubt.append((i, i + 1))
-            for low, high in zip(edge[many > 2].tolist(), (edge + many)[many > 2].tolist(), strict=True):
-                cut = low + int(np.count_nonzero(~right[low:high]))
-                two = low < cut < high
-                for i in range(cut if two else low + 1, high):
-                    root = forest.root[low:high]
-                    other = may_be(np.arange(low, cut if two else i), i)
-                    while len(other := other[root[other - low] != root[i - low]]):
-                        j, other = int(other[0]), other[1:]
-                        sure = surely(norm[i], norm[j], similarity)
+            high = np.r_[edge[1:], len(g)]
+            cut = edge + np.add.reduceat((~right).astype(np.int64), edge)
+            group, row = np.repeat(np.arange(len(edge)), high - edge), np.arange(len(g))
+            two = ((edge < cut) & (cut < high))[group]
+            count = np.where(two, np.where(right, cut[group], edge[group]), row) - edge[group]
+            ends = np.cumsum(count)
+            low = 0
+            while low < len(g):
+                top = max(low + 1, int(np.searchsorted(ends, ends[low] - count[low] + PAIRS, side="right")))
+                many = count[low:top]
+                i = np.repeat(row[low:top], many)
+                i, j = may_be(i, edge[group[i]] + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many))
+                for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                    u, v = find(of[x]), find(of[y])
+                    if u != v:
+                        sure = surely(norm[x], norm[y], similarity)
                         if sure:
-                            x, y = root[i - low], root[j - low]
-                            root[root == max(x, y)] = min(x, y)
+                            root[max(u, v)] = min(u, v)
                         elif sure is None:
-                            doubt.append((i, j))
-                    if len(doubt) >= PUT_OFF:
-                        settle()
+                            doubt.append((x, y))
+                if len(doubt) >= PUT_OFF:
+                    settle()
+                low = top
             settle()
-            at = np.flatnonzero(forest.root != np.arange(len(ids)))
+            roots = np.array(root)
+            at = np.flatnonzero(roots != np.arange(len(names)))
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[forest.root[at]])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[at]), pa.array(names[roots[at]])], names=["a", "b"])
 
     return map_texts(dealt, run, "a long, b long", 500)
 
@@ -613,12 +716,17 @@ def removed_lines(docs: DataFrame, key: str, similarity: float = SIMILARITY, min
     """(doc_id, key, lines): the numbers of the lines that go, for each text of ``docs`` (with its ``key``) that loses any."""
     rows = kept(_prints(docs, key, min_chars), "line-prints")
     prints = rows.where("range is null").select("doc_id", "key", "line", "h", "check")
+    blocks = shared_blocks(rows.where("range is not null").select("range", "pairs"))
+    # a line that no other equals or shares a part with has nothing to remove
+    often = prints.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    asked = kept(often.union(blocks.select(F.col("id").alias("h"))).distinct(), "line-asked")
+    prints = kept(prints.join(asked.hint("shuffle_hash"), "h"), "line-places")
     place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("key").alias("key"), F.col("line").alias("line"), F.col("check").alias("check"))
     nodes = kept(prints.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "line-nodes")
-    blocks = shared_blocks(rows.where("range is not null").select("range", "pairs"))
-    places = nodes.join(blocks.select(F.col("id").alias("h")).distinct(), "h").select(F.col("first.key").alias("key"), F.col("first.line").alias("line"), F.col("h").alias("id"))
-    lines = kept(_texts(docs, key, places).dropDuplicates(["id"]), "line-texts")
-    same = components(_verified(blocks, lines, similarity, tile), "line-groups").select(F.col("node").alias("h"), F.col("root").alias("g"))
+    tiles = kept(_tiles(blocks, tile), "line-tiles").withColumnRenamed("id", "h")
+    places = nodes.join(tiles, "h").select(F.col("first.key").alias("key"), F.col("first.line").alias("line"), "tiles")
+    edges = _verified(_texts(docs, key, places), similarity)
+    same = components(edges, "line-groups").select(F.col("node").alias("h"), F.col("root").alias("g"))
     nodes = nodes.join(same, "h", "left").withColumn("g", F.coalesce("g", "h"))
     # of each group the first place stays; a node alone with one occurrence has nothing to remove
     first = kept(nodes.groupBy("g").agg(F.min("first").alias("stays"), F.sum("n").alias("all")).where("all > 1"), "line-first")
@@ -637,7 +745,9 @@ def line_dedup(docs: DataFrame, similarity: float = SIMILARITY, min_chars: int =
     parts = F.split("text", "\n")
     numbers = F.coalesce(F.col(lines), F.array().cast("array<bigint>"))
     left = F.array_except(F.sequence(F.lit(0).cast("long"), F.size(parts).cast("long") - 1), numbers)
-    text = F.when(F.col(lines).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i.cast("int"))), "\n"))
+    # ``p`` is the text cut into lines once, not for each line that is left
+    rest = F.transform(F.array(parts), lambda p: F.array_join(F.transform(left, lambda i: F.get(p, i.cast("int"))), "\n"))
+    text = F.when(F.col(lines).isNull(), F.col("text")).otherwise(F.get(rest, F.lit(0)))
     n_lines = F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0))
     extra = {"n_lines": n_lines, "n_removed": F.size(numbers)} if counts else {}
     return joined.withColumns(extra | {"text": text}).drop(lines)

@@ -194,3 +194,69 @@ def test_pairs_in_doubt_join_groups(spark):
     rows = [(i, line()) for i in range(150)]
     got = sorted((r.doc_id, r.text) for r in ld.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert [t for _, t in got] == brute(rows, found=candidates(rows))
+
+
+def test_band_has_the_answers_of_the_whole_table():
+    rnd = random.Random(2)
+    for t in range(600):
+        a = "".join(rnd.choice("abcdé語😀 "[: 2 + t % 7]) for _ in range(rnd.choice([3, 5, 20, 64, 65, 130, 300])))
+        b = list(a)
+        for _ in range(rnd.randint(0, 1 + len(a) // 3)):
+            at = rnd.randrange(len(b) + 1)
+            b[at : at + rnd.randint(0, 2)] = rnd.choice(["", "x", "a"])
+        a, b = sorted((a, "".join(b)), key=len)
+        d = ld.edit_distance(a, b)
+        for most in (d - 4, d - 1, d, d + 1, d + 5):
+            if len(b) - len(a) <= most < len(a):
+                assert ld._in_band(a, b, most) == (d <= most)
+
+
+def test_sure_is_right_whatever_the_ends():
+    """What both lines have at either end is left out, without a word being taken for another."""
+    rnd = random.Random(4)
+    for _ in range(3000):
+        a = " ".join(rnd.choice(["ab", "abc", "b", "c d", "xyz", "the"]) for _ in range(rnd.randint(0, 12)))
+        b = list(a)
+        for _ in range(rnd.randint(0, 4)):
+            at = rnd.randrange(len(b) + 1)
+            b[at : at + rnd.randint(0, 2)] = rnd.choice(["", "x", " ", "ab"])
+        b = "".join(b)
+        d = ld.edit_distance(a, b)
+        assert ld.bound(a, b) >= d
+        assert ld.surely(a, b, 0.8) in (None, d <= 0.2 * max(len(a), len(b)) + 1e-9)
+
+
+def test_normalised_as_each_line_alone():
+    rnd = random.Random(8)
+    for _ in range(3000):
+        t = "".join(rnd.choice("aB1 23\n\t.²³¼ª\xa0\x85\x1cé_ÄÀ0ﬁ٣"[: rnd.choice([8, 14, 20, 24])]) for _ in range(rnd.randint(0, 60)))
+        assert ld.normalised_lines(t) == [ld.normalised(x) for x in t.split("\n")]
+
+
+def test_one_cluster_takes_few_distances(spark, monkeypatch):
+    """60 lines of one part, all alike by edit distance alone: about as many distances as lines, not as pairs."""
+    import pyarrow as pa
+    from unittest.mock import MagicMock
+
+    rnd = random.Random(7)
+    base = ["".join(rnd.choice("abcdefgh") for _ in range(8)) for _ in range(12)]
+    lines = sorted({" ".join(w[:3] + rnd.choice("stuvwxyz") + w[4:] for w in base) for _ in range(60)})
+    prints = ld.line_prints(lines).view(np.int64)
+    n = len(lines)
+    rows = {"id": range(n), "g": [1] * n, "_right": [False] * n, "norm": lines, "few": [True] * n, "p": prints[:, 0], "q": prints[:, 1], "k": [5] * n, "ks": [[5]] * n}
+    taken = []
+    real = ld.all_within
+    monkeypatch.setattr(ld, "all_within", lambda pairs, most: taken.extend(pairs) or real(pairs, most))
+    monkeypatch.setattr(ld, "map_texts", lambda df, run, *_: run)
+    run = ld._verified(MagicMock(), 0.8)
+    out = pa.Table.from_batches(run(iter(pa.table(rows).to_batches())))
+    assert len(set(out["b"].to_pylist())) == 1 and out.num_rows == n - 1
+    assert n - 1 <= len(taken) < 3 * n
+
+
+def test_long_text_loses_a_line(spark):
+    """A text of many lines is cut into lines once."""
+    lines = [str(i) for i in range(20_000)] + ["this line is here twice"] * 2
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in ld.line_dedup(docs, counts=True).collect()}
+    assert got[1].text == "\n".join(lines[:-1]) and (got[1].n_lines, got[1].n_removed) == (20_002, 1) and got[2].text is None
